@@ -48,9 +48,9 @@ def _always(m: Column) -> Column:
 
 
 def secret_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each of df's: doc_id and ``spans``, an array of (start, kind number, end), in code points, end exclusive."""
+    """One row for each of df's: doc_id, the columns in ``keep`` and ``spans``, an array of (start, kind number, end), in code points, end exclusive."""
     t = F.col("_t")
-    base = df.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("_t"), F.monotonically_increasing_id().alias("_uid"))
+    base = df.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("_t"), F.monotonically_increasing_id().alias("_uid"), *keep)
     mixed = lambda m: m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
     kinds = [
         _matches(t, 0, ASSIGN, F.contains(t, F.lit("=")) | F.contains(t, F.lit(":")), lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= MIN_ASSIGN),
@@ -60,7 +60,7 @@ def secret_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scop
         _matches(t, 4, ENDPOINT, F.contains(t, F.lit("://")), _always),
     ]
     document = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("gap"), F.lit(0).alias("len"), F.lit(False).alias("ok")))
-    rows = base.select("_uid", "doc_id", F.posexplode(F.concat(document, *kinds)).alias("_i", "_m")).select("_uid", "doc_id", "_i", "_m.*")
+    rows = base.select("_uid", "doc_id", *keep, F.posexplode(F.concat(document, *kinds)).alias("_i", "_m")).select("_uid", "doc_id", *keep, "_i", "_m.*")
     order = Window.partitionBy("_uid", "doc_id", "kind").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
     near = Window.partitionBy("_uid", "doc_id").orderBy("start").rangeBetween(-scope, scope)
@@ -68,7 +68,7 @@ def secret_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scop
     linked = ends.withColumn("access_near", has(1)).withColumn("secret_near", has(0, 3)).withColumn("endpoint_near", has(4))
     reported = F.col("ok") & (F.col("kind").between(0, STRONG - 1) | ((F.col("kind") == 3) & (F.col("access_near") | F.col("endpoint_near"))) | ((F.col("kind") == 4) & (F.col("access_near") | F.col("secret_near"))))
     span = F.struct("start", "kind", "end")
-    return linked.groupBy("_uid", "doc_id").agg(F.array_sort(F.collect_list(F.when(reported, span))).alias("spans")).select("doc_id", "spans")
+    return linked.groupBy("_uid", "doc_id", *keep).agg(F.array_sort(F.collect_list(F.when(reported, span))).alias("spans")).select("doc_id", *keep, "spans")
 
 
 def listed(spans: Column) -> Column:
