@@ -1,4 +1,8 @@
 """All queries of the engine by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from clauseloom.plans import structured, texts
+
+_MODULES = [texts, structured]
+
+QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
