@@ -292,7 +292,7 @@ def shingle_set(text, k: int):
 
 
 def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_copy): ids of the documents to drop so that one of each group of near copies, the smallest id, stays.
+    """(_copy, _sha): id and text hash of the documents to drop so that one of each group of near copies stays.
 
     Components of near fingerprints (shingles of ``probe_k`` words, ``radius`` bits) are candidates. A member goes if
     its text equals that of the component's smallest id, or the Jaccard similarity of their sets of k-word shingles
@@ -309,22 +309,23 @@ def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius:
     left = written(own, "near-members")
     alike = written(left.groupBy("group", "sha").agg(F.min("doc_id").alias("first")), "near-texts")
     one = left.join(alike, ["group", "sha"])
-    drop = [one.where("doc_id <> first").select("doc_id")]
-    open_ = one.where("doc_id = first").select("doc_id", "group", "set")
+    key = ["doc_id", "sha"]
+    drop = [one.where("doc_id <> first").select(*key)]
+    open_ = one.where("doc_id = first").select(*key, "group", "set")
     for _ in range(ROUNDS):
-        heads = open_.groupBy("group").agg(F.min("doc_id").alias("head"))
-        head_sets = open_.join(heads, F.col("doc_id") == F.col("head")).select("head", F.col("set").alias("head_set"))
-        pairs = open_.join(heads, "group").where("doc_id <> head").join(head_sets, "head")
+        heads = open_.groupBy("group").agg(F.min(F.struct(*key)).alias("h")).select("group", F.col("h.doc_id").alias("head"), F.col("h.sha").alias("head_sha"))
+        head_sets = open_.join(heads, "group").where("doc_id = head and sha = head_sha").dropDuplicates(["group"]).select("group", F.col("set").alias("head_set"))
+        pairs = open_.join(heads, "group").where("doc_id <> head or sha <> head_sha").join(head_sets, "group")
         both = F.size(F.array_intersect("set", "head_set"))
-        judged = written(pairs.select("doc_id", "group", "set", (both >= similarity * (F.size("set") + F.size("head_set") - both)).alias("copy")), "near-round")
-        drop.append(judged.where("copy").select("doc_id"))
-        open_ = judged.where("not copy").select("doc_id", "group", "set")
+        judged = written(pairs.select(*key, "group", "set", (both >= similarity * (F.size("set") + F.size("head_set") - both)).alias("copy")), "near-round")
+        drop.append(judged.where("copy").select(*key))
+        open_ = judged.where("not copy").select(*key, "group", "set")
         if judged.where("copy").isEmpty():
             break
     gone = drop[0]
     for more in drop[1:]:
         gone = gone.union(more)
-    return gone.select(F.col("doc_id").alias("_copy"))
+    return gone.distinct().select(F.col("doc_id").alias("_copy"), F.col("sha").alias("_sha"))
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:

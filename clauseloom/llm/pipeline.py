@@ -19,9 +19,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id."""
+    """One document of each group of near copies: the one of the smallest id. Of rows with equal id and text one stays."""
+    sha = F.sha2(whole_text("text"), 256)
     drop = near_dedup.near_copies(docs, SHINGLE, SIMILARITY, PROBE_SHINGLE, PROBE_RADIUS)
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_copy"]), "left_anti")
+    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_copy"]) & (sha == drop["_sha"]), "left_anti")
+    # repeated rows are rare: only they are gathered by their key
+    keyed = kept.withColumn("_s", sha)
+    many = keyed.groupBy("doc_id", "_s").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_d"), F.col("_s").alias("_m"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_s") == F.col("_m"))
+    once = keyed.join(many, same, "left_semi").dropDuplicates(["doc_id", "_s"])
+    return keyed.join(many, same, "left_anti").union(once).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +44,15 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each whole copy, and the first words of the document on which a source's target falls."""
-    sizes = written(mixing.word_sizes(docs), "mix-sizes")
-    taken = mixing.draw(sizes).where("taken > 0").select(F.col("doc_id").alias("_id"), "epochs", "part", F.col("size").alias("_size"))
+    """The mix: a row for each whole copy, and the first words of the document on which a source's target falls.
+
+    Rows of equal id and text are each taken as far as the one that is taken furthest.
+    """
+    key = F.struct("doc_id", F.sha2(whole_text("text"), 256).alias("sha"))
+    sizes = written(mixing.word_sizes(docs.withColumn("_key", key), "_key"), "mix-sizes")
+    taken = mixing.draw(sizes).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("epochs").alias("epochs"), F.max("part").alias("part"), F.max("size").alias("_size"))
     taken = written(taken, "mix-taken")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    rows = docs.withColumn("_key", key).join(taken, F.col("_key.doc_id").eqNullSafe(F.col("_id.doc_id")) & (F.col("_key.sha") == F.col("_id.sha")))
     copies = (F.col("epochs") + (F.col("part") > 0).cast("long")).cast("int")
     rows = rows.select(*docs.columns, "part", "_size", "epochs", F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
     cut = (F.col("_copy") > F.col("epochs")) & (F.col("part") < F.col("_size"))
