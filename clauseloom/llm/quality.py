@@ -163,3 +163,39 @@ def quality_rules(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# The same in SQL, from the definitions: windows as rows, the distance as the mean divergence from the mixture.
+def _sql_distance(p: list[str], q: list[float]) -> str:
+    q = [x / sum(q) for x in q]
+    terms = []
+    for x, y in zip(p, q, strict=True):
+        terms.append(f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y!r})) ELSE 0 END")
+        if y:
+            terms.append(f"{y!r} * log2(2 * {y!r} / ({x} + {y!r}))")
+    return f"sqrt(greatest(0, ({' + '.join(terms)}) / 2))"
+
+
+def _sql_words(reference: dict[str, float]) -> str:
+    counts = [f"len(list_filter(common, lambda x: x = '{v}'))" for v in reference]
+    own = [f"{c} / greatest(len(common), 1)" for c in counts]
+    return _sql_distance([*own, f"(1.0 * len(common) - {' - '.join(counts)}) / greatest(len(common), 1)"], [*reference.values(), 0])
+
+
+_ALL = sorted({w for q in WORD_REFERENCE.values() for w in q})
+ORACLE = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT u, doc_id, t, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l, regexp_replace(t, '[\p{{L}}\p{{M}} 	-]', '', 'g') AS r FROM d),
+g AS (SELECT u, i, w[i:i + 4] AS g FROM (SELECT u, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+two AS (SELECT u, i FROM (SELECT u, i, count(*) OVER (PARTITION BY u, g) AS c FROM g) WHERE c > 1),
+cov AS (SELECT u, count(DISTINCT i + k) AS n FROM two, (SELECT unnest(generate_series(0, 4)) AS k) GROUP BY u),
+c AS (SELECT u, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(t) AS chars, len(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS up, len(regexp_replace(r, '\P{{Nd}}', '', 'g')) AS dg,
+  len(regexp_replace(r, {"'" + _PUNCTUATION.replace("'", "''") + "'"}, '', 'g')) AS pt, len(r) AS rest, list_filter(w, lambda x: list_contains({_ALL!r}, x)) AS common FROM w LEFT JOIN cov USING (u)),
+s AS (SELECT *, (word_chars - up - rest) / greatest(chars, 1.0) AS p0, up / greatest(chars, 1.0) AS p1, dg / greatest(chars, 1.0) AS p2, pt / greatest(chars, 1.0) AS p3,
+  (rest - dg - pt) / greatest(chars, 1.0) AS p4, (chars - word_chars) / greatest(chars, 1.0) AS p5, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+j AS (SELECT *, least({", ".join(_sql_distance([f"p{i}" for i in range(6)], q) for q in CLASS_REFERENCE.values())}) AS class_d, least({", ".join(_sql_words(q) for q in WORD_REFERENCE.values())}) AS word_d FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND class_d > {MAX_CLASS_DISTANCE} OR len(common) >= {MIN_COMMON} AND word_d > {MAX_WORD_DISTANCE}) AS kept FROM j
+"""

@@ -17,4 +17,5 @@ QUERIES = {
 
 ORACLES = {
     "op2_secret_scan": secrets.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
 }
