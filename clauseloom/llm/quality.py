@@ -63,15 +63,14 @@ def jensen_shannon(p: list[Column], q: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), own / 2 - mixture))
 
 
-def shares(counts: list[Column]) -> list[Column]:
-    total = F.greatest(_sum(counts), F.lit(1))
-    return [x / total for x in counts]
+def shares(counts: list[Column], total: Column) -> list[Column]:
+    return [x / F.greatest(total, F.lit(1)) for x in counts]
 
 
 def _word_shares(reference: dict[str, float], vocabulary: list[str]) -> list[Column]:
     """Shares of one language's words and, last, of the common words of other languages only."""
     own = [F.get("_q", vocabulary.index(v)) for v in reference]
-    return shares([*own, F.col("n_common") - _sum(own)])
+    return shares([*own, F.col("n_common") - _sum(own)], F.col("n_common"))
 
 
 def window_hashes(w: Column, n: Column, size: int) -> Column:
@@ -108,8 +107,8 @@ def repeated_starts(h: Column) -> Column:
     return bind(ordered, marked)
 
 
-def quality_signals(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = 5, references: tuple[dict, dict] = (CLASS_REFERENCE, WORD_REFERENCE)) -> DataFrame:
-    """The columns in ``keep``, counts, the two distances and their guards' counts, one row for each of df's."""
+def _signals(df: DataFrame, text: str, keep: tuple[str, ...], window: int = 5, references: tuple[dict, dict] = (CLASS_REFERENCE, WORD_REFERENCE)) -> DataFrame:
+    """The signals, and a row number that a verdict refers to: a filter on the verdict can't move below the row number, where it would spell out every step."""
     classes, common = references
     vocabulary = sorted({w for q in common.values() for w in q})
     kept = [F.col(c) for c in keep]
@@ -144,21 +143,28 @@ def quality_signals(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     step = step.select(
         *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_common",
         F.aggregate(spread, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
-        *(c.alias(f"_p{i}") for i, c in enumerate(shares([plain, F.col("_upper"), F.col("_digits"), F.col("_points"), other, blank]))),
+        *(c.alias(f"_p{i}") for i, c in enumerate(shares([plain, F.col("_upper"), F.col("_digits"), F.col("_points"), other, blank], F.col("_chars")))),
         F.array(*(F.col("n_common") - F.size(F.array_remove("_common", v)) for v in vocabulary)).alias("_q"),
     )
     return step.select(
         *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common",
         reduce(F.least, [jensen_shannon([F.col(f"_p{i}") for i in range(6)], q) for q in classes.values()]).alias("class_distance"),
         reduce(F.least, [jensen_shannon(_word_shares(q, vocabulary), [*q.values(), 0]) for q in common.values()]).alias("word_distance"),
+        F.monotonically_increasing_id().alias("_row"),
     )
 
 
+def quality_signals(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), **more) -> DataFrame:
+    """The columns in ``keep``, counts, the two distances and their guards' counts, one row for each of df's."""
+    return _signals(df, text, keep, **more).drop("_row")
+
+
 def quality_rules(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_words: int = MIN_WORDS, min_common: int = MIN_COMMON, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, **more) -> DataFrame:
     """``quality_signals`` with ``base_failed`` and ``kept``: false if a base rule fails or a distance is too large."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = ((F.col("n_words") >= min_words) & (F.col("class_distance") > max_class)) | ((F.col("n_common") >= min_common) & (F.col("word_distance") > max_word))
-    return quality_signals(df, text, keep, **more).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~far)
+    found = _signals(df, text, keep, **more)
+    return found.withColumn("base_failed", base).withColumn("kept", (F.col("_row") >= 0) & ~base & ~far).drop("_row")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -185,8 +191,11 @@ def _sql_words(reference: dict[str, float]) -> str:
 _ALL = sorted({w for q in WORD_REFERENCE.values() for w in q})
 ORACLE = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t FROM documents),
-w AS MATERIALIZED (SELECT u, doc_id, t, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS w,
-  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l, regexp_replace(t, '[\p{{L}}\p{{M}} 	-]', '', 'g') AS r FROM d),
+w AS MATERIALIZED (SELECT u, doc_id, t, list_filter(string_split_regex(t, '[ 	-
+]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l, regexp_replace(t, '[\p{{L}}\p{{M}} 	-
+]', '', 'g') AS r FROM d),
 g AS (SELECT u, i, w[i:i + 4] AS g FROM (SELECT u, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
 two AS (SELECT u, i FROM (SELECT u, i, count(*) OVER (PARTITION BY u, g) AS c FROM g) WHERE c > 1),
 cov AS (SELECT u, count(DISTINCT i + k) AS n FROM two, (SELECT unnest(generate_series(0, 4)) AS k) GROUP BY u),
