@@ -5,17 +5,18 @@ All windows share one partitioning by document, so one exchange and one sort ser
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from clauseloom.functions import patterns as P
 from clauseloom.functions import text as T
 
-DOC = Window.partitionBy("doc_id").orderBy("pos")
-UP_TO = DOC.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = DOC.rowsBetween(Window.unboundedPreceding, -1)
-AFTER = DOC.rowsBetween(1, Window.unboundedFollowing)
-FROM = DOC.rowsBetween(0, Window.unboundedFollowing)
+def doc(first: int | None = None, last: int | None = None) -> WindowSpec:
+    """Lines of a document in order; with bounds, rows from first to last around the current one (None: without end)."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    if first is None and last is None:
+        return order
+    return order.rowsBetween(Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
 
 
 def explode_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,7 +30,7 @@ def assemble(lines: DataFrame) -> DataFrame:
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("before", F.lag("line", 1, "").over(DOC)).withColumn("after", F.lead("line", 1, "").over(DOC))
+    return lines.withColumn("before", F.lag("line", 1, "").over(doc())).withColumn("after", F.lead("line", 1, "").over(doc()))
 
 
 def nonblank(c: str | Column = "line") -> Column:
@@ -37,13 +38,13 @@ def nonblank(c: str | Column = "line") -> Column:
 
 
 def next_nonblank(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("next_line", F.first(F.when(nonblank(), F.col("line")), ignorenulls=True).over(AFTER))
+    return lines.withColumn("next_line", F.first(F.when(nonblank(), F.col("line")), ignorenulls=True).over(doc(1, None)))
 
 
 def setext(lines: DataFrame) -> DataFrame:
     """A short title right above a rule line becomes a heading; rule lines go. Of several rules below one another the first counts."""
     rule = T.has(F.col("line"), P.RULE)
-    under = F.lead(rule, 1, False).over(DOC)
+    under = F.lead(rule, 1, False).over(doc())
     above = T.strip(F.col("line"))
     good = (above != "") & (F.length(above) <= P.HEADING_MAX) & ~above.endswith(".") & ~T.has(above, P.LIST_START)
     return lines.withColumn("_rule", rule).withColumn("line", F.when(under & ~rule & good, F.concat(F.lit("## "), above)).otherwise(F.col("line"))).where("not _rule").drop("_rule")
@@ -51,7 +52,7 @@ def setext(lines: DataFrame) -> DataFrame:
 
 def mark_footer(lines: DataFrame) -> DataFrame:
     """``footer``: in the trailing run of link lines, if that has six or more that aren't blank."""
-    run = F.sum((~T.is_link_line(F.col("line"))).cast("long")).over(FROM) == 0
+    run = F.sum((~T.is_link_line(F.col("line"))).cast("long")).over(doc(0, None)) == 0
     marked = lines.withColumn("_run", run)
     size = F.sum((F.col("_run") & nonblank()).cast("long")).over(Window.partitionBy("doc_id"))
     return marked.withColumn("footer", F.col("_run") & (size >= P.FOOTER_LINES)).drop("_run")
@@ -60,7 +61,7 @@ def mark_footer(lines: DataFrame) -> DataFrame:
 def contents_run(lines: DataFrame) -> DataFrame:
     """``in_run``: a bullet beside another bullet."""
     b = T.has(F.col("line"), P.BULLET)
-    return lines.withColumn("in_run", b & (F.lag(b, 1, False).over(DOC) | F.lead(b, 1, False).over(DOC)))
+    return lines.withColumn("in_run", b & (F.lag(b, 1, False).over(doc()) | F.lead(b, 1, False).over(doc())))
 
 
 def titles(lines: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def drop_contents(lines: DataFrame) -> DataFrame:
 
 def caps_titles(lines: DataFrame) -> DataFrame:
     """``title``: an all-capitals line that the next line doesn't go on."""
-    c, after = F.col("line"), F.lead("line", 1, "").over(DOC)
+    c, after = F.col("line"), F.lead("line", 1, "").over(doc())
     return lines.withColumn("title", T.has(c, P.ALL_CAPS) & ~T.has(after, P.ALL_CAPS) & ~T.caps_like(after))
 
 
@@ -114,10 +115,10 @@ def unwrap(lines: DataFrame) -> DataFrame:
     blank, bold, heading = ~nonblank(), T.has(c, P.BOLD_ONLY), T.has(T.strip(c), P.MD_HEADING)
     starts = T.has(c, P.LIST_START)
     marked = caps_titles(lines).select("*", blank.alias("_b"), bold.alias("_o"), heading.alias("_h"), starts.alias("_s"))
-    closed = F.lag(F.col("_b") | F.col("title") | F.col("_o") , 1, True).over(DOC)
+    closed = F.lag(F.col("_b") | F.col("title") | F.col("_o"), 1, True).over(doc())
     # only the island's first line can be a heading; a line that goes on a heading starts an island, so the line above decides
-    marked = marked.withColumn("_new", closed | F.lag("_h", 1, False).over(DOC) | F.col("_b") | F.col("title") | F.col("_o") | F.col("_s"))
-    islands = marked.withColumn("_id", F.sum(F.col("_new").cast("long")).over(UP_TO))
+    marked = marked.withColumn("_new", closed | F.lag("_h", 1, False).over(doc()) | F.col("_b") | F.col("title") | F.col("_o") | F.col("_s"))
+    islands = marked.withColumn("_id", F.sum(F.col("_new").cast("long")).over(doc(None, 0)))
     part = F.array_sort(F.collect_list(F.struct("pos", "line")))
     joined = islands.groupBy("doc_id", "_id").agg(F.min("pos").alias("pos"), part.alias("_p"))
     text = F.concat(F.col("_p")[0]["line"], F.array_join(F.transform(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda x: F.concat(F.lit(" "), T.strip(x["line"]))), ""))
@@ -130,7 +131,7 @@ def sections(lines: DataFrame) -> DataFrame:
     is_md = T.has(F.col("line"), P.MD_HEADING)
     head = is_md & T.is_title(inner)
     marked = lines.withColumn("_head", F.when(head, inner)).withColumn("line", F.when(is_md & ~head, inner).otherwise(F.col("line")))
-    carried = marked.withColumn("section_id", F.count("_head").over(UP_TO)).withColumn("section", F.coalesce(F.last("_head", ignorenulls=True).over(UP_TO), F.lit("")))
+    carried = marked.withColumn("section_id", F.count("_head").over(doc(None, 0))).withColumn("section", F.coalesce(F.last("_head", ignorenulls=True).over(doc(None, 0)), F.lit("")))
     body = carried.where("_head is null").drop("_head")
     return body.withColumn("_full", F.max(nonblank()).over(Window.partitionBy("doc_id", "section_id"))).where("_full").drop("_full")
 
@@ -194,7 +195,7 @@ def block_starts(lines: DataFrame) -> DataFrame:
     first = F.row_number().over(order) == 1
     new = F.col("start").isNotNull() | first | (~headed & ~goes_on)
     marked = found.withColumn("parent", parent).withColumn("_new", new)
-    return marked.withColumn("block_id", F.sum(F.col("_new").cast("long")).over(UP_TO)).drop("_new")
+    return marked.withColumn("block_id", F.sum(F.col("_new").cast("long")).over(doc(None, 0))).drop("_new")
 
 
 def neighbours_in_section(lines: DataFrame) -> DataFrame:
