@@ -22,19 +22,19 @@ ids only has id null. Repeated rows each get a row. An empty table gives an empt
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import bind, components, documents, whole_text, words, written
+from clauseloom.llm.common import components, documents, whole_text, words, written
 from clauseloom.llm.simhash import as_hex, fingerprint, votes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Weights of the cost model: a key emitted and sorted against a candidate pair compared in memory.
 KEY_COST, PAIR_COST = 1.0, 0.004
 SMALL_RUN, LARGE_RUN = 24, 8192
-#: Further rounds of near_copies() among members that aren't near their group's first.
+#: Rounds of the plain replay in tests/llm/test_pipeline.py; near_copies() judges every member and has none.
 ROUNDS = 4
 
 
@@ -285,47 +285,127 @@ def near_components(found: DataFrame, radius: int = 4) -> DataFrame:
     return found.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text, k: int):
-    """Distinct hashes of the text's shingles of k lower-cased words; of fewer words, of the whole sequence."""
-    w = words(ascii_lower(whole_text(text)))
-    return bind(w, lambda x: F.when(F.size(x) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - k), lambda i: F.xxhash64(*(F.get(x, i + j) for j in range(k)))))).otherwise(F.array(F.xxhash64(F.array_join(x, " ")))))
+def shingle_hashes(raw: bytes, k: int):
+    """Sorted distinct hashes of the text's shingles of k words lower-cased (A-Z); of fewer words, of the whole sequence."""
+    import numpy as np
+
+    code, power, inverse = hash_tables(len(raw) + 1)
+    x = np.frombuffer(raw, np.uint8)
+    apart = np.r_[True, (x == 32) | ((x >= 9) & (x <= 13)), True]
+    starts, ends = np.flatnonzero(apart[:-1] & ~apart[1:]), np.flatnonzero(~apart[:-1] & apart[1:])
+    total = np.r_[np.uint64(0), np.cumsum(code[x] * power[: len(x)], dtype=np.uint64)]
+    w = mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    size = min(k, len(w))
+    made = np.full(max(len(w) - size + 1, 1), size, dtype=np.uint64)
+    for j in range(size):
+        made = mixed(made + w[j : len(w) - size + 1 + j])
+    return np.unique(made)
+
+
+def mixed(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+_tables: list = []
+
+
+def hash_tables(n: int):
+    """A value for each byte (A-Z as a-z), and powers of an odd number and of its inverse modulo 2 ** 64, n at least."""
+    import numpy as np
+
+    if not _tables or len(_tables[1]) < n:
+        base, size = 0x9E3779B97F4A7C15, max(1 << 16, 2 * n)
+        code = mixed(np.arange(1, 257, dtype=np.uint64))
+        code[65:91] = code[97:123]
+        steps = (np.full(size, x, dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+        _tables[:] = [code, *(np.cumprod(np.r_[np.uint64(1), x[1:]], dtype=np.uint64) for x in steps)]
+    return _tables
+
+
+class FirstCome:
+    """Sets of one group in the order they come: each is kept unless it is like one kept before.
+
+    Two sets with a Jaccard similarity of s or more share one of the n - ceil(s * n) + 1 smallest elements of each of
+    them, so kept sets are looked up by those only and no similar one is missed.
+    """
+
+    def __init__(self, similarity: float):
+        self.similarity, self.kept, self.by = similarity, [], {}
+
+    def copy(self, x) -> bool:
+        import numpy as np
+
+        n = len(x)
+        # one element more than needed where similarity * n is whole, whatever its rounding
+        probe = x[: n - max(1, ceil(self.similarity * n - 1e-6)) + 1].tolist()
+        seen: set[int] = set()
+        for h in probe:
+            for i in self.by.get(h, ()):
+                if i not in seen:
+                    seen.add(i)
+                    y = self.kept[i]
+                    if self.similarity * max(n, len(y)) <= min(n, len(y)) + 1e-6:
+                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                        both = int(np.count_nonzero(y[at] == x))
+                        if both >= self.similarity * (n + len(y) - both):
+                            return True
+        for h in probe:
+            self.by.setdefault(h, []).append(len(self.kept))
+        self.kept.append(x)
+        return False
+
+
+def first_come(k: int, similarity: float):
+    """From rows (group, doc_id, sha, text) sorted by the first three: (doc_id, sha) of those like one that stays."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, last, held = None, None, None
+        for b in batches:
+            hits = []
+            for r, (group, i, sha, text) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), strict=True)):
+                if group != at:
+                    at, last, held = group, None, FirstCome(similarity)
+                if (i, sha) != last:  # a repeated row is no copy of itself
+                    last = (i, sha)
+                    if held.copy(shingle_hashes((text.as_py() or "").encode(), k)):
+                        hits.append(r)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(hits, pa.int64())) for c in (1, 2)], ["doc_id", "sha"])
+
+    return run
 
 
 def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_copy, _sha): id and text hash of the documents to drop so that one of each group of near copies stays.
 
-    Components of near fingerprints (shingles of ``probe_k`` words, ``radius`` bits) are candidates. A member goes if
-    its text equals that of the component's smallest id, or the Jaccard similarity of their sets of k-word shingles
-    is at least ``similarity``; the others form a further round among themselves, until a round drops nothing more.
-    One pair for each member is verified, so a group costs what its size is. Copies of equal text count once. Null
-    ids stay.
+    Components of near fingerprints (shingles of ``probe_k`` words, ``radius`` bits) are candidates. Of equal texts the
+    smallest id stays. Of a component's other texts, in the order of their ids, each goes if the Jaccard similarity of
+    its set of k-word shingles and that of one that stays is at least ``similarity``: every member is judged against
+    all that stay, found by shared shingles. A task holds the sets that stay of one component. Null ids stay.
     """
-    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = written(fingerprints(rows, k=probe_k), "probe-fp")
-    group = near_components(found, radius).select("doc_id", F.col("component_id").alias("group"))
+    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.sha2(whole_text(text), 256).alias("sha"))
+    ids = written(rows.select("doc_id", "sha"), "near-ids")
+    firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    same = ids.join(firsts, "sha").where("doc_id <> first").select("doc_id", "sha")
+    # a node is a text: texts whose nodes are equal by chance are candidates only
+    found = written(fingerprints(rows.select(node_of("sha").alias("node"), "text"), "node", k=probe_k).distinct(), "probe-fp")
+    group = near_components(found, radius).select(F.col("doc_id").alias("node"), F.col("component_id").alias("group"))
     sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
     members = group.join(sizes, "group", "left_semi")
-    own = rows.join(members.distinct(), "doc_id").select("doc_id", "group", F.sha2(whole_text("text"), 256).alias("sha"), shingle_set("text", k).alias("set"))
-    left = written(own, "near-members")
-    alike = written(left.groupBy("group", "sha").agg(F.min("doc_id").alias("first")), "near-texts")
-    one = left.join(alike, ["group", "sha"])
-    key = ["doc_id", "sha"]
-    drop = [one.where("doc_id <> first").select(*key)]
-    open_ = one.where("doc_id = first").select(*key, "group", "set")
-    for _ in range(ROUNDS):
-        heads = open_.groupBy("group").agg(F.min(F.struct(*key)).alias("h")).select("group", F.col("h.doc_id").alias("head"), F.col("h.sha").alias("head_sha"))
-        head_sets = open_.join(heads, "group").where("doc_id = head and sha = head_sha").dropDuplicates(["group"]).select("group", F.col("set").alias("head_set"))
-        pairs = open_.join(heads, "group").where("doc_id <> head or sha <> head_sha").join(head_sets, "group")
-        both = F.size(F.array_intersect("set", "head_set"))
-        judged = written(pairs.select(*key, "group", "set", (both >= similarity * (F.size("set") + F.size("head_set") - both)).alias("copy")), "near-round")
-        drop.append(judged.where("copy").select(*key))
-        open_ = judged.where("not copy").select(*key, "group", "set")
-        if judged.where("copy").isEmpty():
-            break
-    gone = drop[0]
-    for more in drop[1:]:
-        gone = gone.union(more)
-    return gone.distinct().select(F.col("doc_id").alias("_copy"), F.col("sha").alias("_sha"))
+    chosen = written(firsts.withColumn("node", node_of("sha")).join(members, "node").select(F.col("first").alias("doc_id"), "sha", "group"), "near-members")
+    own = rows.join(chosen, ["doc_id", "sha"]).select("group", "doc_id", "sha", "text")
+    schema = own.select("doc_id", "sha").schema
+    near = own.repartition("group").sortWithinPartitions("group", "doc_id", "sha").mapInArrow(first_come(k, similarity), schema)
+    return same.union(near).distinct().select(F.col("doc_id").alias("_copy"), F.col("sha").alias("_sha"))
+
+
+def node_of(sha: str):
+    return F.xxhash64(sha)
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
