@@ -36,6 +36,8 @@ KEY_COST, PAIR_COST = 1.0, 0.004
 SMALL_RUN, LARGE_RUN = 24, 8192
 #: Rounds of the plain replay in tests/llm/test_pipeline.py; near_copies() judges every member and has none.
 ROUNDS = 4
+#: Minimum hashes of near_copies(): at a Jaccard similarity of 0.8 a pair has a band in common but in 3 of 100,000 cases.
+BANDS, BAND_ROWS = 20, 4
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
@@ -275,10 +277,19 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     return probes.repartition("key").sortWithinPartitions("key").mapInArrow(verify_runs(radius), "a long, b long").distinct()
 
 
-def near_components(found: DataFrame, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) from (doc_id, fp): component_id is the smallest doc_id that links reach."""
+def near_components(found: DataFrame, radius: int = 4, more: DataFrame | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) from (doc_id, fp): component_id is the smallest doc_id that links reach.
+
+    more: further links (a, b) between ids, which are then unique in ``found``.
+    """
     distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fp")
-    roots = components(near_links(distinct, radius), "fp-components").withColumnRenamed("node", "fp")
+    links = near_links(distinct, radius)
+    if more is not None:
+        ends = (found.select(F.col("doc_id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+        for end in ends:
+            more = more.join(end, end.columns[0])
+        links = links.union(more.select("fp_a", "fp_b"))
+    roots = components(links, "fp-components").withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.select("fp", "root").join(least, "root").select("fp", "component_id")
@@ -326,6 +337,64 @@ def hash_tables(n: int):
     return _tables
 
 
+def band_keys(h):
+    """A key for each of BANDS bands of BAND_ROWS minimum hashes of a set: two sets have one in common with probability
+    1 - (1 - J ** BAND_ROWS) ** BANDS for a Jaccard similarity of J."""
+    import numpy as np
+
+    odd = mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(len(odd), 2**64 - 1, dtype=np.uint64)
+    for s in range(0, len(h), 4096):
+        x = (h[s : s + 4096] ^ (h[s : s + 4096] >> np.uint64(29)))[None, :] * odd[:, None]
+        least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BAND_ROWS, BANDS):
+        keys = mixed(keys + row)
+    return keys
+
+
+def emit_bands(k: int):
+    """From rows (node, text): (key, node) for each band."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            for s in range(0, len(node), 10_000):
+                keys = [band_keys(shingle_hashes((t or "").encode(), k)) for t in b.column(1).slice(s, 10_000).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node[s : s + 10_000], BANDS))], ["key", "node"])
+
+    return run
+
+
+def band_stars(batches):
+    """From rows (key, node) sorted by both: links of a key's other nodes with its first."""
+    import numpy as np
+    import pyarrow as pa
+
+    key, first = None, None
+    for b in batches:
+        k, x = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(k):
+            continue
+        starts = np.flatnonzero(np.r_[k[0] != key, k[1:] != k[:-1]])
+        centre = x[starts]
+        if k[0] == key:
+            starts, centre = np.r_[0, starts], np.r_[first, centre]
+        centres = np.repeat(centre, np.diff(np.r_[starts, len(k)]))
+        key, first = k[-1], centre[-1]
+        hit = centres != x
+        yield pa.RecordBatch.from_arrays([pa.array(centres[hit]), pa.array(x[hit])], ["a", "b"])
+
+
+def band_links(rows: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) that connect the nodes of rows (node, text) which have a band in common."""
+    keys = rows.select("node", "text").mapInArrow(emit_bands(k), "key long, node long")
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(band_stars, "a long, b long").distinct()
+
+
 class FirstCome:
     """Sets of one group in the order they come: each is kept unless it is like one kept before.
 
@@ -383,8 +452,8 @@ def first_come(k: int, similarity: float):
 def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_copy, _sha): id and text hash of the documents to drop so that one of each group of near copies stays.
 
-    Components of near fingerprints (shingles of ``probe_k`` words, ``radius`` bits) are candidates. Of equal texts the
-    smallest id stays. Of a component's other texts, in the order of their ids, each goes if the Jaccard similarity of
+    Candidates are the components of two kinds of links together: near fingerprints (shingles of ``probe_k`` words,
+    ``radius`` bits) and common bands of minimum hashes (shingles of ``k`` words). Of equal texts the smallest id stays. Of a component's other texts, in the order of their ids, each goes if the Jaccard similarity of
     its set of k-word shingles and that of one that stays is at least ``similarity``: every member is judged against
     all that stay, found by shared shingles. A task holds the sets that stay of one component. Null ids stay.
     """
@@ -393,8 +462,9 @@ def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius:
     firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("first"))
     same = ids.join(firsts, "sha").where("doc_id <> first").select("doc_id", "sha")
     # a node is a text: texts whose nodes are equal by chance are candidates only
-    found = written(fingerprints(rows.select(node_of("sha").alias("node"), "text"), "node", k=probe_k).distinct(), "probe-fp")
-    group = near_components(found, radius).select(F.col("doc_id").alias("node"), F.col("component_id").alias("group"))
+    nodes = rows.select(node_of("sha").alias("node"), "text")
+    found = written(fingerprints(nodes, "node", k=probe_k).distinct(), "probe-fp")
+    group = near_components(found, radius, band_links(nodes, k)).select(F.col("doc_id").alias("node"), F.col("component_id").alias("group"))
     sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
     members = group.join(sizes, "group", "left_semi")
     chosen = written(firsts.withColumn("node", node_of("sha")).join(members, "node").select(F.col("first").alias("doc_id"), "sha", "group"), "near-members")

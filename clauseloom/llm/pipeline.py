@@ -23,9 +23,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     sha = F.sha2(whole_text("text"), 256)
     drop = near_dedup.near_copies(docs, SHINGLE, SIMILARITY, PROBE_SHINGLE, PROBE_RADIUS)
     kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_copy"]) & (sha == drop["_sha"]), "left_anti")
-    # repeated rows are rare: only they are gathered by their key
+    # repeated rows are found by their keys; texts move for them only where there are any
+    many = docs.select(F.col("doc_id").alias("_d"), sha.alias("_m")).groupBy("_d", "_m").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d", "_m")
+    many = written(many, "repeated-rows")
+    if many.isEmpty():
+        return kept.select(*docs.columns)
     keyed = kept.withColumn("_s", sha)
-    many = keyed.groupBy("doc_id", "_s").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_d"), F.col("_s").alias("_m"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_s") == F.col("_m"))
     once = keyed.join(many, same, "left_semi").dropDuplicates(["doc_id", "_s"])
     return keyed.join(many, same, "left_anti").union(once).select(*docs.columns)

@@ -68,3 +68,39 @@ def test_shingle_hashes_tell_apart_what_words_do(rows):
         assert len(a) == len(x)
     for (a, x), (b, y) in zip(made, made[1:], strict=False):
         assert len(a & b) == len(x & y)
+
+
+def appended_and_cut(rng, n):
+    """n pairs (longer, shorter) of random texts, with words at the end of the one only, at a similarity of 0.8 to 0.91."""
+    out = []
+    for _ in range(n):
+        w = prose(rng, rng.randrange(60, 600))
+        keep = rng.choice([0.81, 0.83, 0.86, 0.91])
+        out.append((" ".join(w), " ".join(w[: int(len(w) * keep) + 1])))
+    return out
+
+
+def test_bands_reach_appended_and_cut_texts():
+    rng = random.Random(13)
+    pairs = [(a, b) for a, b in appended_and_cut(rng, 1500) if jaccard(shingles(a), shingles(b)) >= P.SIMILARITY]
+    keys = lambda t: near_dedup.band_keys(near_dedup.shingle_hashes(t.encode(), P.SHINGLE))
+    assert len(pairs) > 1000
+    assert sum((keys(a) == keys(b)).any() for a, b in pairs) >= 0.999 * len(pairs)
+
+
+def test_appended_and_cut_texts_go(spark, folder):
+    rng = random.Random(14)
+    rows = [(i, t) for i, t in enumerate(t for pair in appended_and_cut(rng, 150) for t in pair)]
+    assert stage_kept(spark, folder, rows) == plain_kept(rows)
+
+
+def test_many_revisions_of_a_text(spark, folder):
+    rng = random.Random(12)
+    w, rows = prose(rng, 500), []
+    for i in range(60):
+        for j in rng.sample(range(500), 6):
+            w[j] = f"r{i}x{j}"
+        rows.append((i, " ".join(w)))
+    want = plain_kept(rows)
+    assert len(want) > near_dedup.ROUNDS + 1
+    assert stage_kept(spark, folder, rows) == want
