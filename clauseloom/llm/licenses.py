@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from clauseloom.llm.common import documents, whole_text
 
 LEAST_DICE = 0.8
+BLANK_LINE = r"\n[\x20\t\r]*\n"
 
 # Texts by which works are put under well-known licenses.
 TEMPLATES = {
@@ -62,9 +63,10 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, least: fl
     low, high = min(bounds(len(g), least)[0] for g in grams.values()), max(bounds(len(g), least)[1] for g in grams.values())
     base = df.select(F.monotonically_increasing_id().alias("_uid"), F.col(doc_id).alias("doc_id"), whole_text(text).alias("_t"))
     none = F.array().cast("array<string>")
-    paragraphs = F.filter(F.split("_t", r"\n[\x20\t\r]*\n"), lambda x: F.contains(x, F.lit("\n")))
+    paragraphs = F.filter(F.split("_t", BLANK_LINE), lambda x: F.contains(x, F.lit("\n")))
     lines = F.when(F.contains("_t", F.lit("\n")), F.split("_t", "\n")).otherwise(none)
-    units = F.concat(F.array("_t"), lines, F.when(F.contains("_t", F.lit("\n\n")), paragraphs).otherwise(none))
+    # without a blank line the only paragraph is the text
+    units = F.concat(F.array("_t"), lines, F.when(F.col("_t").rlike(BLANK_LINE), paragraphs).otherwise(none))
     rows = base.select("_uid", "doc_id", F.posexplode(units).alias("unit", "_u"))
     # a bigram takes three characters at least
     rows = rows.select("_uid", "doc_id", "unit", F.when(F.length("_u") >= 3 * low, F.split(normalised(F.col("_u")), " ")).alias("_w"))
