@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseloom.functions import patterns as P
 from clauseloom.operators import clauses, rules
+from clauseloom.operators.repair import base_heading
 from clauseloom.sources import agreements, results
 
 
@@ -40,4 +42,26 @@ def validate_folder(spark: SparkSession, folder: str) -> DataFrame:
     flat = results.flatten(read.where("not corrupt")).where("id is not null").withColumn("doc_id", F.struct("file", "doc_idx"))
     broken = rules.violations(flat).select("doc_id.file", "doc_id.doc_idx", F.col("id").cast("long"), "bug", "rule")
     gaps = rules.id_gaps(flat, "doc_id", "id").select("doc_id.file", "doc_id.doc_idx", none.cast("long"), F.lit("11"), F.lit("ids_not_1_to_n"))
-    return bad.union(lacking).union(broken).union(gaps)
+    inner = key_violations(raw.join(read.where("not corrupt").select("file"), "file", "left_semi"))
+    return bad.union(lacking).union(broken).union(gaps).union(inner).union(part_violations(results.flatten(read.where("not corrupt"))))
+
+
+def key_violations(raw: DataFrame) -> DataFrame:
+    """Documents that lack keys, and clauses that lack keys or have others, from (file, raw)."""
+    parts = lambda x, path: F.from_json(F.get_json_object(x, path), "array<string>")
+    docs = raw.select("file", F.posexplode(parts("raw", "$.documents")).alias("doc_idx", "d"))
+    own = docs.select("file", "doc_idx", F.lit(None).cast("long").alias("id"), rules.key_problems(F.col("d"), rules.DOC_KEYS).alias("k"))
+    items = docs.select("file", "doc_idx", F.explode(parts("d", "$.clauses")).alias("c"))
+    items = items.select("file", "doc_idx", F.get_json_object("c", "$.id").try_cast("long").alias("id"), rules.key_problems(F.col("c"), rules.CLAUSE_KEYS, exact=True).alias("k"))
+    both = own.union(items)
+    rows = [both.where(F.size(f"k.{x}") > 0).select("file", "doc_idx", "id", F.lit("FORMAT").alias("bug"), F.concat(F.lit(f"{x}: "), F.array_join(f"k.{x}", ", ")).alias("rule")) for x in ("missing", "extra")]
+    return rows[0].union(rows[1])
+
+
+def part_violations(flat: DataFrame) -> DataFrame:
+    """Groups of part labels with one base heading whose count varies or whose parts aren't 1 to n."""
+    n = [F.regexp_extract("heading", P.PART_LABEL, i).try_cast("long") for i in (1, 2)]
+    parts = flat.where(F.col("heading").rlike(P.PART_LABEL)).select("file", "doc_idx", base_heading(F.col("heading")).alias("base"), "id", n[0].alias("k"), n[1].alias("n"))
+    found = rules.part_groups(parts, ["file", "doc_idx", "base"])
+    row = lambda c, rule: found.where(c).select("file", "doc_idx", F.lit(None).cast("long").alias("id"), F.lit("8").alias("bug"), F.lit(rule).alias("rule"))
+    return row("mixed", "parts_of_different_n").union(row("broken", "parts_not_1_to_n"))
