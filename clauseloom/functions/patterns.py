@@ -20,7 +20,7 @@ BOLD_LABEL = r"^(?:\*\*|__)(\d+(?:\.\d+)*|[a-z]{1,4})[.)](?:\*\*|__)\s*(\S.*)$"
 LABEL_PREFIX = r"^\(?(?:\d+(?:\.\d+)*|[a-z]|[ivx]{2,4})[.)]\s+"
 FIRST_SENTENCE = r"^([^.:!?]{2,80}?)[.:]\s+(\S.*)$"
 ITALIC = r"(?<![\w*])\*(?!\s)([^*\n]+?)(?<!\s)\*(?![\w*])"
-SENTENCE_GAP = r"(?<=[.!?])\s+(?=[\"\x{201c}\x27(\[]?[A-Z0-9])"
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[\"\x{201c}'(\[]?[A-Z0-9])"
 CLAUSE_GAP = r"(?<=;)\s+"
 FOOTER_LABEL = r"^[A-Z][\w &]{2,30}: [-*\x{2022}] "
 YEAR = r"\b(?:19|20)\d{2}\b"
@@ -31,7 +31,7 @@ SLUG_DROP = r"[^\w\s-]"
 ITEM_LABEL = r"^(?:[a-z]\. |[ivxlcdm]+\. |\([a-z]\) |\([ivxlcdm]+\) |\d+\. )"
 BARE_LABEL_HEADING = r"^[a-z]\.\s*(\(part \d+/\d+\))?$"
 STALE_LABEL_HEADING = r"^[a-z]\. > "
-MOJIBAKE = "â€™|Ã©|\\\\ufffd|�"
+MOJIBAKE = "â€™|Ã©|Ã\\\\xa9|\\\\ufffd|�"
 HTML_DEBRIS = r"<[a-zA-Z][^>]*>|&amp;|&lt;|&gt;|&nbsp;"
 HEADING_DEBRIS = r"\*\*|\*[^*]|^\*$|-{4,}|={4,}"
 PART_LABEL = r"\(part (\d+)/(\d+)\)"
@@ -41,6 +41,11 @@ JUNK_NAV = r"\b[A-Z][a-z]+(?: \+ [A-Z][a-z]+){2,}"
 NAV_LINE = r"^[A-Z][a-z]+(?: \+ [A-Z][a-z]+){2,}$"
 GLUED_WORD = r"[a-z]{2}[A-Z][a-z]{2}"
 ITEM_LINE = r"^([a-z])\. ([A-Z][^.]*?)\.?\s"
+SHORT_ITEM = r"^([a-z])\. ([A-Z][a-zA-Z ]+?)[. ]"
+GENERIC_HEADING = r"^Item \d+$"
+NUMBERED_HEADING = r"^\d+\."
+BARE_PART, STALE_PART = r"^([a-z])\. \(part (\d+)/(\d+)\)$", r"^([a-z])\. > (.+)$"
+FIRST_NAME = r"^([A-Z][^.]+?)\."
 FOOTER_WORDS = ["Support", "Cookie Settings", "Careers", "Help", "---"]
 # In this order: an earlier entry can take the beginning of a later one away.
 MOJIBAKE_FIXES = [

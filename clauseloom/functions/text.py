@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from clauseloom.functions import patterns as P
 from clauseloom.functions.patterns import uni
 
+#: All characters that are white space, those of plain text first.
+SPACES = " \n\t\r" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r")
 BLANK = r"(?U)\s+"
 
 
@@ -17,12 +19,12 @@ def bind(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode white space at both ends (trim() knows blanks only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at both ends (trim() alone knows blanks only)."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def tokens(c: Column) -> Column:

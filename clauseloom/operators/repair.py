@@ -13,11 +13,14 @@ SEGMENT_MIN, ITEM_LINE_MIN, CHILD_MAX = 50, 20, 60
 
 def is_junk(text: Column) -> Column:
     """Every line is navigation, or every line is a footer word or rule, or all of at most three lines hold glued words."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: T.strip(x)), lambda x: x != "")
-    nav = F.forall(lines, lambda x: x.rlike(P.NAV_LINE))
-    footer = F.forall(lines, lambda x: x.isin(P.FOOTER_WORDS) | x.startswith("---"))
-    glued = (F.size(lines) <= 3) & F.forall(lines, lambda x: x.rlike(P.GLUED_WORD))
-    return (F.size(lines) > 0) & (nav | footer | glued)
+
+    def judged(lines: Column) -> Column:
+        nav = F.forall(lines, lambda x: x.rlike(P.NAV_LINE))
+        footer = F.forall(lines, lambda x: x.isin(P.FOOTER_WORDS) | x.startswith("---"))
+        glued = (F.size(lines) <= 3) & F.forall(lines, lambda x: x.rlike(P.GLUED_WORD))
+        return (F.size(lines) > 0) & (nav | footer | glued)
+
+    return T.bind(F.filter(F.transform(F.split(text, "\n"), lambda x: T.strip(x)), lambda x: x != ""), judged)
 
 
 def without_debris(h: Column) -> Column:
@@ -35,9 +38,9 @@ def without_mojibake(c: Column) -> Column:
 def named_label(h: Column, text: Column) -> Column:
     """'g. (part 1/3)' takes its name from the text, 'g. > X' becomes X."""
     s, line = T.strip(h), T.strip(F.substring_index(text, "\n", 1))
-    bare, stale = r"^([a-z])\. \(part (\d+)/(\d+)\)$", r"^([a-z])\. > (.+)$"
+    bare, stale = P.BARE_PART, P.STALE_PART
     label = F.concat(F.lit(" (part "), F.regexp_extract(s, bare, 2), F.lit("/"), F.regexp_extract(s, bare, 3), F.lit(")"))
-    name = F.when(line.rlike(r"^[A-Z][^.]+?\."), T.strip(F.regexp_extract(line, r"^([A-Z][^.]+?)\.", 1))).otherwise(T.first_words(line, 6))
+    name = F.when(line.rlike(P.FIRST_NAME), T.strip(F.regexp_extract(line, P.FIRST_NAME, 1))).otherwise(T.first_words(line, 6))
     made, sub = F.concat(name, label), F.regexp_extract(s, stale, 2)
     made = F.when(F.length(made) > P.HEADING_MAX, F.concat(T.first_words(text, 8), label)).otherwise(made)
     sub = F.when(F.length(sub) > P.HEADING_MAX, T.first_words(sub, 8)).otherwise(sub)
@@ -56,71 +59,130 @@ def capped(h: Column) -> Column:
 def without_period(h: Column) -> Column:
     s = T.rstrip(h)
     less = T.strip(F.substring(s, F.lit(1), F.length(s) - 1))
-    good = ~h.rlike(r"^\d+\.") & s.endswith(".") & ~s.endswith("...") & (F.length(less) <= P.HEADING_MAX) & (less != "")
+    good = ~h.rlike(P.NUMBERED_HEADING) & s.endswith(".") & ~s.endswith("...") & (F.length(less) <= P.HEADING_MAX) & (less != "")
     return F.when(good, less).otherwise(h)
 
 
 def named_item(h: Column, text: Column) -> Column:
-    return F.when(h.rlike(r"^Item \d+$"), T.first_words(text, 8)).otherwise(h)
+    return F.when(h.rlike(P.GENERIC_HEADING), T.first_words(text, 8)).otherwise(h)
 
 
 def base_heading(h: Column) -> Column:
     return T.strip(F.rtrim(T.strip(F.regexp_replace(h, P.PART_LABEL, "")), F.lit(">")))
 
 
+def item_pieces(heading: Column, text: Column) -> Column:
+    """array<struct(seg, heading, text)>: the text cut before later lines that begin a lettered item, if it gives two pieces
+    or more and every one has 50 characters or more; otherwise the clause as it is. Within the row: no explode, no join."""
+    long_item = lambda x: x.rlike(P.ITEM_LINE) & (F.length(x) > ITEM_LINE_MIN)
+    title = lambda x: F.when(long_item(x), F.regexp_extract(x, P.ITEM_LINE, 2)).when(x.rlike(P.SHORT_ITEM), F.regexp_extract(x, P.SHORT_ITEM, 2))
+    base = T.strip(F.regexp_replace(heading, P.PART_LABEL, ""))
+
+    def cut(lines: Column) -> Column:
+        starts = F.filter(F.transform(lines, lambda x, i: F.when(i > 0, T.bind(title(T.strip(x)), lambda n: F.when(n.isNotNull(), F.struct(i.alias("i"), n.alias("n")))))), lambda x: x.isNotNull())
+
+        def pieces(s: Column) -> Column:
+            first = F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("n"))
+            last = lambda k: F.coalesce(F.get(s, k)["i"], F.size(lines))
+            made = lambda x, k: F.struct(
+                k.alias("seg"),
+                F.when(k > 0, F.concat(base, F.lit(" > "), F.rtrim(T.strip(x["n"]), F.lit(".")))).otherwise(heading).alias("heading"),
+                T.strip(F.array_join(F.slice(lines, x["i"] + 1, last(k) - x["i"]), "\n")).alias("text"),
+            )
+            return F.filter(F.transform(F.concat(F.array(first), s), made), lambda x: x["text"] != "")
+
+        whole = F.array(F.struct(F.lit(0).alias("seg"), heading.alias("heading"), text.alias("text")))
+        good = lambda p: (F.size(p) > 1) & F.forall(p, lambda x: F.length(x["text"]) >= SEGMENT_MIN)
+        return T.bind(starts, lambda s: F.when(F.size(s) == 0, whole).otherwise(T.bind(pieces(s), lambda p: F.when(good(p), p).otherwise(whole))))
+
+    return T.bind(F.split(text, "\n"), cut)
+
+
 def split_items(clauses: DataFrame) -> DataFrame:
-    """Cuts a clause before lines that begin a lettered item, if every piece has 50 characters or more; ``seg`` orders the pieces."""
-    line = T.strip(F.col("line"))
-    item = (F.col("n") > 0) & ((line.rlike(P.ITEM_LINE) & (F.length(line) > ITEM_LINE_MIN)) | line.rlike(r"^([a-z])\. ([A-Z][a-zA-Z ]+?)[. ]"))
-    rows = clauses.select("doc_id", "id", "heading", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    order = Window.partitionBy("doc_id", "id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.withColumn("_item", item).withColumn("seg", F.sum(F.col("_item").cast("int")).over(order))
-    piece = F.array_sort(F.collect_list(F.struct("n", "line")))
-    title = F.min(F.when(F.col("_item"), F.struct("n", F.regexp_extract(line, P.ITEM_LINE, 2).alias("t"))))["t"]
-    pieces = cut.groupBy("doc_id", "id", "heading", "seg").agg(T.strip(F.array_join(F.transform(piece, lambda x: x["line"]), "\n")).alias("text"), title.alias("_t")).where("text <> ''")
-    own = Window.partitionBy("doc_id", "id")
-    whole = (F.count(F.lit(1)).over(own) == 1) | (F.min(F.length("text")).over(own) < SEGMENT_MIN)
-    marked = pieces.withColumn("_whole", whole)
-    named = F.concat(T.strip(F.regexp_replace("heading", P.PART_LABEL, "")), F.lit(" > "), F.rtrim(F.col("_t"), F.lit(".")))
-    split = marked.where("not _whole").select("doc_id", "id", "seg", F.when(F.col("seg") > 0, named).otherwise(F.col("heading")).alias("heading"), "text")
-    rest = clauses.join(split.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti")
-    return split.unionByName(rest.select("doc_id", "id", F.lit(0).alias("seg"), "heading", "text"))
-
-
-def renumber_parts(clauses: DataFrame, order: list[str]) -> DataFrame:
-    """Groups of equal base whose part 1 is missing get labels 1..size, if all agree on n."""
+    """(doc_id, id, seg, heading, text): ``seg`` orders the pieces of a clause from 0."""
+    return clauses.select("doc_id", "id", F.inline(item_pieces(F.col("heading"), F.col("text"))))
+
+
+def _is_two_to_n(own) -> Column:
+    """The parts are exactly 2..n, each once or more."""
+    k, n = F.col("_k"), F.col("_n")
+    return (F.min(k).over(own) == 2) & (F.max(k).over(own) == n) & (F.size(F.collect_set(k).over(own)) == n - 1)
+
+
+def renumber_parts(clauses: DataFrame, order: list[str], among: Column | None = None) -> DataFrame:
+    """Groups of equal base whose parts are 2..n get labels 1..size, if all agree on n and the parts are 2..n, or fewer
+    than n; among: which rows take part."""
     h = F.col("heading")
-    has = h.rlike(P.PART_LABEL)
+    has = h.rlike(P.PART_LABEL) if among is None else h.rlike(P.PART_LABEL) & among
     k, n = F.regexp_extract(h, P.PART_LABEL, 1).try_cast("int"), F.regexp_extract(h, P.PART_LABEL, 2).try_cast("int")
     marked = clauses.select("*", F.when(has, base_heading(h)).alias("_b"), F.when(has, k).alias("_k"), F.when(has, n).alias("_n"))
     own = Window.partitionBy("doc_id", "_b")
     rank = F.row_number().over(own.orderBy("_k", *order))
-    fix = has & (F.min("_n").over(own) == F.max("_n").over(own)) & (F.min("_k").over(own) > 1) & (F.count(F.lit(1)).over(own) < F.col("_n"))
+    fix = has & (F.min("_n").over(own) == F.max("_n").over(own)) & (_is_two_to_n(own) | (~F.bool_or(F.col("_k") == 1).over(own) & (F.count(F.lit(1)).over(own) < F.col("_n"))))
     label = F.concat(F.lit("(part "), F.col("_r").cast("string"), F.lit("/"), F.col("_c").cast("string"), F.lit(")"))
     ranked = marked.withColumn("_fix", fix).withColumn("_r", rank).withColumn("_c", F.count(F.lit(1)).over(own))
     pieces = F.split(h, r"\(part \d+/\d+\)")
     return ranked.withColumn("heading", F.when(F.col("_fix"), F.array_join(pieces, "\x01")).otherwise(h)).withColumn("heading", F.when(F.col("_fix"), F.replace("heading", F.lit("\x01"), label)).otherwise(F.col("heading"))).drop("_b", "_k", "_n", "_fix", "_r", "_c")
 
 
-def heading_steps(h: Column, t: Column) -> list[tuple[str, Column]]:
-    """(bug, heading after the step) of the repairs that follow the split of items, in order."""
-    out, now = [], h
-    for bug, step in (("2", lambda x: named_label(x, t)), ("3", capped), ("3", without_period), ("4", lambda x: named_item(x, t))):
-        now = step(now)
-        out.append((bug, now))
-    return out
+#: (bug, detail) of the repairs of a heading in order: before the split of items, and after it.
+EARLY, LATE = (("7", "Debris removed from heading"), ("10", "Encoding or markup mended in heading")), (("2", "Label named"), ("3", "Heading shortened"), ("3", "Full stop removed"), ("4", "Generic heading replaced"))
+
+
+def stages(value: Column, steps: list) -> Column:
+    """array: the value and what each step in turn makes of it; each step's input is computed once."""
+
+    def grow(had: list[Column], rest: list) -> Column:
+        return T.bind(rest[0](had[-1]), lambda x: grow([*had, x], rest[1:])) if rest else F.array(*had)
+
+    return T.bind(value, lambda x: grow([x], steps))
+
+
+def repaired(clauses: DataFrame, junk: Column) -> DataFrame:
+    """(doc_id, old_id, id, heading, text, junk, seg and what each step did): a row for each piece; ``junk`` tells which
+    clauses pass through as they are."""
+    h, t = F.col("heading"), F.col("text")
+    early = clauses.select("doc_id", F.col("id").alias("old_id"), junk.alias("junk"), h.alias("old_heading"), t.alias("old_text"), stages(h, [without_debris, without_mojibake]).alias("early"), without_mojibake(t).alias("text"))
+    cut = F.when(F.col("junk"), F.array(F.struct(F.lit(0).alias("seg"), F.get("early", 2).alias("heading"), F.col("text")))).otherwise(item_pieces(F.get("early", 2), F.col("text")))
+    pieces = early.withColumn("_p", cut).drop("text").select("*", F.size("_p").alias("pieces"), F.inline("_p")).drop("_p")
+    steps = [lambda x: named_label(x, t), capped, without_period, lambda x: named_item(x, t)]
+    named = pieces.withColumn("late", stages(F.col("heading"), steps)).withColumn("heading", F.element_at("late", -1))
+    # one exchange serves both windows; junk takes no part in them
+    rows = named.repartition("doc_id")
+    numbered = renumber_parts(rows.withColumn("_named", F.col("heading")), ["old_id", "seg"], ~F.col("junk"))
+    own = Window.partitionBy("doc_id", "junk").orderBy("old_id", "seg")
+    return numbered.withColumn("id", F.when(~F.col("junk"), F.row_number().over(own).cast("long")))
 
 
 def repair(clauses: DataFrame) -> DataFrame:
-    """Junk out; headings and texts mended; items split; headings named and capped; parts and ids numbered anew."""
-    kept = clauses.where(~is_junk(F.col("text"))).select("doc_id", "id", without_debris(F.col("heading")).alias("heading"), "text")
-    kept = kept.select("doc_id", "id", without_mojibake(F.col("heading")).alias("heading"), without_mojibake(F.col("text")).alias("text"))
-    pieces = split_items(kept)
-    for step in (lambda h: named_label(h, F.col("text")), capped, without_period, lambda h: named_item(h, F.col("text"))):
-        pieces = pieces.withColumn("heading", step(F.col("heading")))
-    numbered = renumber_parts(pieces, ["id", "seg"])
-    new_id = F.row_number().over(Window.partitionBy("doc_id").orderBy("id", "seg")).cast("long")
-    return numbered.select("doc_id", F.col("id").alias("old_id"), new_id.alias("id"), "heading", "text")
+    """(doc_id, old_id, id, heading, text): junk out; headings and texts mended; items split; headings named and capped;
+    parts and ids numbered anew."""
+    return repaired(clauses.where(~is_junk(F.col("text"))), F.lit(False)).select("doc_id", "old_id", "id", "heading", "text")
+
+
+def repair_log(clauses: DataFrame) -> DataFrame:
+    """(doc_id, bug, old_id, new_id, old_heading, new_heading, detail): a row for each change that a repair makes, in the
+    order of the repairs; new ids are those before the last numbering, '(new)' for a piece cut off, null if deleted."""
+    same, cut = F.col("old_id").cast("string"), lambda c, n: F.left(c, F.lit(n))
+    row = lambda bug, new, was, now, detail: F.struct(F.lit(bug).alias("bug"), new.alias("new_id"), was.alias("old_heading"), now.alias("new_heading"), detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    first, kept = F.col("seg") == 0, ~F.col("junk")
+
+    def steps(array: str, which: tuple) -> list[Column]:
+        at = lambda i: F.get(F.col(array), i)
+        guard = (first & kept) if array == "early" else kept
+        return [F.when(guard & (at(i) != at(i + 1)), row(bug, same, at(i), at(i + 1), F.lit(detail))) for i, (bug, detail) in enumerate(which)]
+
+    mended = without_mojibake(F.col("old_text"))
+    found = [
+        F.when(F.col("junk"), row("9", none, F.col("old_heading"), none, F.concat(F.lit("Deleted: "), cut(F.col("old_text"), 120)))),
+        *steps("early", EARLY),
+        F.when(first & kept & (mended != F.col("old_text")), row("10", same, cut(F.col("old_text"), 50), cut(mended, 50), F.lit("Encoding or markup mended in text"))),
+        F.when(kept & (F.col("seg") > 0), row("1", F.lit("(new)"), F.get("early", 2), F.get("late", 0), F.lit("Item cut off"))),
+        *steps("late", LATE),
+        F.when(kept & (F.col("_named") != F.col("heading")), row("8", same, F.col("_named"), F.col("heading"), F.lit("Part numbered anew"))),
+    ]
+    return repaired(clauses, is_junk(F.col("text"))).select("doc_id", "old_id", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull()))).select("doc_id", "bug", F.col("old_id").cast("string").alias("old_id"), "new_id", "old_heading", "new_heading", "detail")
 
 
 def change_log(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

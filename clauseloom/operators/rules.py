@@ -11,43 +11,50 @@ from clauseloom.functions import text as T
 CLAUSE_KEYS, DOC_KEYS, FILE_KEYS = ["id", "heading", "text"], ["title", "source", "clauses"], ["company", "collected", "source_file", "documents"]
 
 
-def clause_checks(before: Column) -> list[tuple[str, str, Column]]:
-    """(rule, bug, broken) for rules on one clause; before: the text of the clause before, null for the first."""
+def clause_checks(before: Column) -> list[tuple[str, str, Column, Column]]:
+    """(rule, bug, broken, message) for rules on one clause; before: the text of the clause before, null for the first."""
     h, t = F.col("heading"), F.col("text")
-    lines = F.split(t, "\n")
+    tail, lines = T.rstrip(h), F.transform(F.split(t, "\n"), lambda x: T.strip(x))
     first = F.get(lines, 0)
     later_part = T.has(h, P.PART_LABEL) & (T.group(h, P.PART_LABEL, 1).try_cast("int") > 1)
+    places = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & x.rlike(P.ITEM_LABEL), F.struct(i.alias("i"), F.left(x, F.lit(60)).alias("x")))), lambda x: x.isNotNull())
+    shown = F.slice(places, 1, 3)
+    say = lambda text, *c: F.format_string(text, *c) if c else F.lit(text)
+    head = lambda c, n: F.left(c, F.lit(n))
     return [
-        ("blank_heading", "FORMAT", T.strip(h) == ""),
-        ("long_heading", "3", F.length(h) > P.HEADING_MAX),
-        ("sentence_heading", "3", h.endswith(".") & ~h.endswith("...") & ~h.rlike(r"^\d+\.")),
-        ("bare_label", "2", T.has(T.strip(h), P.BARE_LABEL_HEADING)),
-        ("stale_label", "2", T.has(h, P.STALE_LABEL_HEADING)),
-        ("generic_item", "4", h.rlike(r"^Item \d+$")),
-        ("heading_debris", "7", T.has(h, P.HEADING_DEBRIS)),
-        ("mojibake", "10", T.has(t, P.MOJIBAKE) | T.has(h, P.MOJIBAKE)),
-        ("html_debris", "10", T.has(t, P.HTML_DEBRIS) | T.has(h, P.HTML_DEBRIS)),
-        ("short_text", "FORMAT", F.length(t) < P.MIN_LEN),
-        ("long_text", "FORMAT", F.length(t) > P.MAX_LEN),
-        ("ends_in_lead_in", "5", T.rstrip(t).endswith(":")),
-        ("navigation", "9", T.has(t, P.JUNK_NAV)),
-        ("unsplit_item", "1", F.exists(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.rlike(P.ITEM_LABEL))),
-        ("orphan_bullet", "6", (first.startswith("-") | first.startswith("*") | first.startswith("bullet")) & ~later_part & before.isNotNull() & ~T.rstrip(before).endswith(":")),
-    ]
-
-
-def violations(clauses: DataFrame) -> DataFrame:
-    """All broken clause rules in one pass: one window for the clause before, one explode."""
-    before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("id"))
-    rows = [F.when(broken, F.struct(F.lit(bug).alias("bug"), F.lit(rule).alias("rule"))) for rule, bug, broken in clause_checks(F.col("_before"))]
-    found = clauses.withColumn("_before", before).select("doc_id", "id", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("v"))
-    return found.select("doc_id", "id", "v.bug", "v.rule")
-
-
-def id_gaps(df: DataFrame, doc: str, id_: str) -> DataFrame:
-    """Documents whose ids aren't 1..N, each once."""
-    n = df.groupBy(doc).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(id_).alias("d"), F.min(id_).alias("lo"), F.max(id_).alias("hi"))
-    return n.where(~((F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("d") == F.col("n")))).select(doc, "n")
+        ("blank_heading", "FORMAT", T.strip(h) == "", say("Empty heading")),
+        ("long_heading", "3", F.length(h) > P.HEADING_MAX, say("Heading of %d characters, over 100: %s...", F.length(h), head(h, 60))),
+        ("sentence_heading", "3", tail.endswith(".") & ~tail.endswith("...") & ~h.rlike(P.NUMBERED_HEADING), say("Heading ends with a full stop: %s", head(h, 60))),
+        ("bare_label", "2", T.has(T.strip(h), P.BARE_LABEL_HEADING), say("Bare label as heading: %s", h)),
+        ("stale_label", "2", T.has(T.strip(h), P.STALE_LABEL_HEADING), say("Stale label in heading: %s", h)),
+        ("generic_item", "4", h.rlike(P.GENERIC_HEADING), say("Generic heading: %s", h)),
+        ("heading_debris", "7", T.has(h, P.HEADING_DEBRIS), say("Heading debris: %s", h)),
+        ("mojibake", "10", T.has(t, P.MOJIBAKE) | T.has(h, P.MOJIBAKE), say("Broken encoding")),
+        ("html_debris", "10", T.has(t, P.HTML_DEBRIS) | T.has(h, P.HTML_DEBRIS), say("HTML tag or entity")),
+        ("short_text", "FORMAT", F.length(t) < P.MIN_LEN, say("Text of %d characters, under 150: %s", F.length(t), head(t, 60))),
+        ("long_text", "FORMAT", F.length(t) > P.MAX_LEN, say("Text of %d characters, over 1500", F.length(t))),
+        ("ends_in_lead_in", "5", T.rstrip(t).endswith(":"), say("Text ends with a colon: ...%s", F.right(T.rstrip(t), F.lit(60)))),
+        ("navigation", "9", T.has(t, P.JUNK_NAV), say("Navigation words: %s", head(t, 80))),
+        ("unsplit_item", "1", F.size(places) > 0, say("Unsplit items at lines %s: %s", F.array_join(F.transform(shown, lambda x: x["i"].cast("string")), ", "), F.array_join(F.transform(shown, lambda x: x["x"]), " | "))),
+        ("orphan_bullet", "6", (first.startswith("-") | first.startswith("*") | first.startswith("bullet")) & ~later_part & before.isNotNull() & ~T.rstrip(before).endswith(":"), say("Bullet without a lead-in in the clause before")),
+    ]
+
+
+def violations(clauses: DataFrame, key: str = "doc_id", order: str = "id") -> DataFrame:
+    """(key, id, bug, rule, message): all broken clause rules in one pass, one window for the clause before, one explode."""
+    before = F.lag("text").over(Window.partitionBy(key).orderBy(order))
+    rows = [F.when(broken, F.struct(F.lit(bug).alias("bug"), F.lit(rule).alias("rule"), message.alias("message"))) for rule, bug, broken, message in clause_checks(F.col("_before"))]
+    found = clauses.withColumn("_before", before).select(key, "id", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("v"))
+    return found.select(key, "id", "v.bug", "v.rule", "v.message")
+
+
+def id_gaps(df: DataFrame, doc: str, id_: str, order: str | None = None) -> DataFrame:
+    """Documents whose ids, in the order of ``order``, aren't 1..N: (doc, n, got) with the first twenty ids as they stand."""
+    own = Window.partitionBy(doc).orderBy(order or id_)
+    rows = df.select(doc, F.col(id_).cast("long").alias("_i"), F.row_number().over(own).alias("_r"))
+    got = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= 20, F.struct("_r", "_i")))), lambda x: x["_i"].cast("string")), ", ", "?")
+    n = rows.groupBy(doc).agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("_i").eqNullSafe(F.col("_r").cast("long"))).alias("_bad"), got.alias("got"))
+    return n.where("_bad").select(doc, "n", "got")
 
 
 def part_groups(parts: DataFrame, base: list[str]) -> DataFrame:

@@ -32,18 +32,20 @@ def file_stats(found: DataFrame) -> DataFrame:
 
 
 def validate_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Violations (file, doc_idx, id, bug, rule) of result files: of their JSON and keys, their ids, their clauses, their parts."""
+    """Violations (file, doc_idx, id, bug, rule, message) of result files: of their JSON and keys, their ids in order, their
+    clauses, their parts. A clause without an id, heading or text counts as one with null id and empty texts."""
     raw = agreements.read_files(spark, folder, "*.json").select("file", F.col("text").alias("raw"))
     read = results.read_results(raw)
     keys = raw.select("file", rules.key_problems(F.col("raw"), rules.FILE_KEYS).alias("k"))
     none = F.lit(None)
-    bad = read.where("corrupt").select("file", none.cast("int").alias("doc_idx"), none.cast("long").alias("id"), F.lit("FORMAT").alias("bug"), F.lit("invalid_json").alias("rule"))
-    lacking = keys.where("k.valid and size(k.missing) > 0").select("file", none.cast("int"), none.cast("long"), F.lit("FORMAT"), F.concat(F.lit("missing: "), F.array_join("k.missing", ", ")))
-    flat = results.flatten(read.where("not corrupt")).where("id is not null").withColumn("doc_id", F.struct("file", "doc_idx"))
-    broken = rules.violations(flat).select("doc_id.file", "doc_id.doc_idx", F.col("id").cast("long"), "bug", "rule")
-    gaps = rules.id_gaps(flat, "doc_id", "id").select("doc_id.file", "doc_id.doc_idx", none.cast("long"), F.lit("11"), F.lit("ids_not_1_to_n"))
+    bad = read.where("corrupt").select("file", none.cast("int").alias("doc_idx"), none.cast("long").alias("id"), F.lit("FORMAT").alias("bug"), F.lit("invalid_json").alias("rule"), F.lit("Not a JSON object of the expected kind").alias("message"))
+    lacking = keys.where("k.valid and size(k.missing) > 0").select("file", none.cast("int"), none.cast("long"), F.lit("FORMAT"), F.concat(F.lit("missing: "), F.array_join("k.missing", ", ")), F.lit("The file lacks keys"))
+    flat = results.flatten(read.where("not corrupt")).where("pos is not null").withColumn("doc_id", F.struct("file", "doc_idx"))
+    flat = flat.withColumns({c: F.coalesce(c, F.lit("")) for c in ("heading", "text")})
+    broken = rules.violations(flat, "doc_id", "pos").select("doc_id.file", "doc_id.doc_idx", F.col("id").cast("long"), "bug", "rule", "message")
+    gaps = rules.id_gaps(flat, "doc_id", "id", "pos").select("doc_id.file", "doc_id.doc_idx", none.cast("long"), F.lit("11"), F.lit("ids_not_1_to_n"), F.concat(F.lit("Ids not 1 to N: "), "got"))
     inner = key_violations(raw.join(read.where("not corrupt").select("file"), "file", "left_semi"))
-    return bad.union(lacking).union(broken).union(gaps).union(inner).union(part_violations(results.flatten(read.where("not corrupt"))))
+    return bad.union(lacking).union(broken).union(gaps).union(inner).union(part_violations(flat))
 
 
 def key_violations(raw: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def key_violations(raw: DataFrame) -> DataFrame:
     items = docs.select("file", "doc_idx", F.explode(parts("d", "$.clauses")).alias("c"))
     items = items.select("file", "doc_idx", F.get_json_object("c", "$.id").try_cast("long").alias("id"), rules.key_problems(F.col("c"), rules.CLAUSE_KEYS, exact=True).alias("k"))
     both = own.union(items)
-    rows = [both.where(F.size(f"k.{x}") > 0).select("file", "doc_idx", "id", F.lit("FORMAT").alias("bug"), F.concat(F.lit(f"{x}: "), F.array_join(f"k.{x}", ", ")).alias("rule")) for x in ("missing", "extra")]
+    rows = [both.where(F.size(f"k.{x}") > 0).select("file", "doc_idx", "id", F.lit("FORMAT").alias("bug"), F.concat(F.lit(f"{x}: "), F.array_join(f"k.{x}", ", ")).alias("rule"), F.when(F.col("id").isNull(), "A document or clause has keys amiss").otherwise("A clause has keys amiss").alias("message")) for x in ("missing", "extra")]
     return rows[0].union(rows[1])
 
 
@@ -63,5 +65,5 @@ def part_violations(flat: DataFrame) -> DataFrame:
     n = [F.regexp_extract("heading", P.PART_LABEL, i).try_cast("long") for i in (1, 2)]
     parts = flat.where(F.col("heading").rlike(P.PART_LABEL)).select("file", "doc_idx", base_heading(F.col("heading")).alias("base"), "id", n[0].alias("k"), n[1].alias("n"))
     found = rules.part_groups(parts, ["file", "doc_idx", "base"])
-    row = lambda c, rule: found.where(c).select("file", "doc_idx", F.lit(None).cast("long").alias("id"), F.lit("8").alias("bug"), F.lit(rule).alias("rule"))
-    return row("mixed", "parts_of_different_n").union(row("broken", "parts_not_1_to_n"))
+    row = lambda c, rule, said: found.where(c).select("file", "doc_idx", F.lit(None).cast("long").alias("id"), F.lit("8").alias("bug"), F.lit(rule).alias("rule"), F.format_string(f"{said}: %s", "base").alias("message"))
+    return row("mixed", "parts_of_different_n", "Parts of different n").union(row("broken", "parts_not_1_to_n", "Parts aren't 1 to n"))

@@ -14,34 +14,45 @@ from clauseloom.plans.texts import table
 
 def made_clauses(spark, sf_dir):
     """(doc_id, id, heading, text) with one kind of fault or none, by place."""
-    c, k, j = F.col("line"), (F.col("doc_id") + F.col("pos")) % 13, (F.col("doc_id") * 3 + F.col("pos")) % 11
+    c, k, j = F.col("line"), (F.col("doc_id") + F.col("pos")) % 16, (F.col("doc_id") * 3 + F.col("pos")) % 15
     pos = F.col("pos").cast("string")
-    heads = ["''", "concat(line, ' > ', repeat('Long words here ', 9))", "concat(line, '.')", "'g.'", "'g. (part 1/3)'", "concat('g. > ', line)", "concat('Item ', pos)", "concat('**', line, '**')", "concat('---- ', line)", "concat(line, ' â€™s Ã©')", "concat('<br>', line, ' &amp; more')", "concat(line, ' (part 2/3)')"]
-    texts = ["concat('- ', line)", "concat(line, ':')", "concat(repeat(line, 2), ' and enough words to fill the first piece of it.\na. Payment methods apply to this item here. More words follow so that it is long.')", "'Alpha + Beta + Gamma'", "concat(line, ' &lt;x&gt; â€œq')", "repeat(concat(line, ' '), 30)"]
+    heads = ["''", "concat(line, ' > ', repeat('Long words here ', 9))", "concat(line, '.')", "'g.'", "'g. (part 1/3)'", "concat('g. > ', line)", "concat('Item ', pos)", "concat('**', line, '**')", "concat('---- ', line)", "concat(line, ' â€™s Ã©')", "concat('<br>', line, ' &amp; more')", "concat(line, ' (part 2/3)')", "concat(line, '.  ')", "concat('  g. > ', line)", "concat('Ã\\\\xa9 ', line)"]
+    texts = ["concat('- ', line)", "concat(line, ':')", "concat(repeat(line, 2), ' and enough words to fill the first piece of it.\na. Payment methods apply to this item here. More words follow so that it is long.')", "'Alpha + Beta + Gamma'", "concat(line, ' &lt;x&gt; â€œq')", "repeat(concat(line, ' '), 30)", "concat('  - ', line)", "concat(repeat(line, 2), ' and more words to reach the least size.\n   b. Availability', repeat(line, 2), '\n  (c) other')", "concat(repeat(line, 2), ' and more words to reach the least size.\na. Availability. Here', repeat(line, 2))", "concat('- ', repeat(line, 3), '\n\n  ')"]
     pick = lambda n, xs, other: F.expr(f"CASE {n} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + f" ELSE {other} END")
     sl = structured_lines(spark, sf_dir).select("doc_id", "pos", "line", k.alias("k"), j.alias("j"))
     return sl.select("doc_id", (F.col("pos") + 1).cast("long").alias("id"), pick("k", heads, "line").alias("heading"), pick("j", texts, "repeat(line, 4)").alias("text"))
 
 
-CL = f"""{SL}, cl AS (SELECT doc_id, (pos + 1)::BIGINT AS id, CASE (doc_id + pos) % 13 WHEN 0 THEN '' WHEN 1 THEN line || ' > ' || repeat('Long words here ', 9) WHEN 2 THEN line || '.'
+CL = f"""{SL}, cl AS (SELECT doc_id, (pos + 1)::BIGINT AS id, CASE (doc_id + pos) % 16 WHEN 0 THEN '' WHEN 1 THEN line || ' > ' || repeat('Long words here ', 9) WHEN 2 THEN line || '.'
   WHEN 3 THEN 'g.' WHEN 4 THEN 'g. (part 1/3)' WHEN 5 THEN 'g. > ' || line WHEN 6 THEN 'Item ' || pos WHEN 7 THEN '**' || line || '**' WHEN 8 THEN '---- ' || line
-  WHEN 9 THEN line || ' â€™s Ã©' WHEN 10 THEN '<br>' || line || ' &amp; more' WHEN 11 THEN line || ' (part 2/3)' ELSE line END AS heading,
-  CASE (doc_id * 3 + pos) % 11 WHEN 0 THEN '- ' || line WHEN 1 THEN line || ':' WHEN 2 THEN repeat(line, 2) || ' and enough words to fill the first piece of it.' || chr(10) || 'a. Payment methods apply to this item here. More words follow so that it is long.'
-  WHEN 3 THEN 'Alpha + Beta + Gamma' WHEN 4 THEN line || ' &lt;x&gt; â€œq' WHEN 5 THEN repeat(line || ' ', 30) ELSE repeat(line, 4) END AS text FROM sl)"""
+  WHEN 9 THEN line || ' â€™s Ã©' WHEN 10 THEN '<br>' || line || ' &amp; more' WHEN 11 THEN line || ' (part 2/3)'
+  WHEN 12 THEN line || '.  ' WHEN 13 THEN '  g. > ' || line WHEN 14 THEN 'Ã\\xa9 ' || line ELSE line END AS heading,
+  CASE (doc_id * 3 + pos) % 15 WHEN 0 THEN '- ' || line WHEN 1 THEN line || ':' WHEN 2 THEN repeat(line, 2) || ' and enough words to fill the first piece of it.' || chr(10) || 'a. Payment methods apply to this item here. More words follow so that it is long.'
+  WHEN 3 THEN 'Alpha + Beta + Gamma' WHEN 4 THEN line || ' &lt;x&gt; â€œq' WHEN 5 THEN repeat(line || ' ', 30)
+  WHEN 6 THEN '  - ' || line WHEN 7 THEN repeat(line, 2) || ' and more words to reach the least size.' || chr(10) || '   b. Availability' || repeat(line, 2) || chr(10) || '  (c) other'
+  WHEN 8 THEN repeat(line, 2) || ' and more words to reach the least size.' || chr(10) || 'a. Availability. Here' || repeat(line, 2) WHEN 9 THEN '- ' || repeat(line, 3) || chr(10) || chr(10) || '  ' ELSE repeat(line, 4) END AS text FROM sl)"""
 
 _NAV = r"(^|\W)[A-Z][a-z]+( \+ [A-Z][a-z]+){2,}"
+_S = "' ' || chr(9) || chr(10) || chr(13)"
+_L = f"list_transform(string_split(text, chr(10)), lambda x: trim(x, {_S}))"
+_ITEMS = f"list_filter(list_zip(range(len(string_split(text, chr(10)))), {_L}), lambda x: x[1] > 0 AND {m('x[2]', P.ITEM_LABEL)})"
+_MOJI = " OR ".join(f"contains({c}, {x})" for c in ("text", "heading") for x in ("'â€™'", "'Ã©'", r"'Ã\xa9'", r"'\ufffd'", "chr(65533)"))
 _CHECKS = [
-    ("blank_heading", "FORMAT", "trim(heading) = ''"), ("long_heading", "3", "len(heading) > 100"),
-    ("sentence_heading", "3", "ends_with(heading, '.') AND NOT ends_with(heading, '...') AND NOT regexp_matches(heading, '^\\d+\\.')"),
-    ("bare_label", "2", m("trim(heading)", P.BARE_LABEL_HEADING)), ("stale_label", "2", m("heading", P.STALE_LABEL_HEADING)), ("generic_item", "4", "regexp_matches(heading, '^Item \\d+$')"),
-    ("heading_debris", "7", m("heading", P.HEADING_DEBRIS)), ("mojibake", "10", "contains(text, 'â€™') OR contains(text, 'Ã©') OR contains(heading, 'â€™') OR contains(heading, 'Ã©')"),
-    ("html_debris", "10", f"{m('text', P.HTML_DEBRIS)} OR {m('heading', P.HTML_DEBRIS)}"), ("short_text", "FORMAT", "len(text) < 150"), ("long_text", "FORMAT", "len(text) > 1500"),
-    ("ends_in_lead_in", "5", "ends_with(rtrim(text), ':')"), ("navigation", "9", m("text", _NAV)),
-    ("unsplit_item", "1", f"len(list_filter(string_split(text, chr(10))[2:], lambda x: {m('x', P.ITEM_LABEL)})) > 0"),
-    ("orphan_bullet", "6", "regexp_matches(text, '^(-|\\*|bullet)') AND NOT regexp_matches(heading, '\\(part ([2-9]|\\d\\d+)/\\d+\\)') AND before IS NOT NULL AND NOT ends_with(rtrim(before), ':')"),
+    ("blank_heading", "FORMAT", f"trim(heading, {_S}) = ''", "'Empty heading'"),
+    ("long_heading", "3", "len(heading) > 100", "'Heading of ' || len(heading) || ' characters, over 100: ' || left(heading, 60) || '...'"),
+    ("sentence_heading", "3", f"ends_with(rtrim(heading, {_S}), '.') AND NOT ends_with(rtrim(heading, {_S}), '...') AND NOT regexp_matches(heading, '^\\d+\\.')", "'Heading ends with a full stop: ' || left(heading, 60)"),
+    ("bare_label", "2", m(f"trim(heading, {_S})", P.BARE_LABEL_HEADING), "'Bare label as heading: ' || heading"),
+    ("stale_label", "2", m(f"trim(heading, {_S})", P.STALE_LABEL_HEADING), "'Stale label in heading: ' || heading"),
+    ("generic_item", "4", "regexp_matches(heading, '^Item \\d+$')", "'Generic heading: ' || heading"),
+    ("heading_debris", "7", m("heading", P.HEADING_DEBRIS), "'Heading debris: ' || heading"), ("mojibake", "10", _MOJI, "'Broken encoding'"),
+    ("html_debris", "10", f"{m('text', P.HTML_DEBRIS)} OR {m('heading', P.HTML_DEBRIS)}", "'HTML tag or entity'"),
+    ("short_text", "FORMAT", "len(text) < 150", "'Text of ' || len(text) || ' characters, under 150: ' || left(text, 60)"), ("long_text", "FORMAT", "len(text) > 1500", "'Text of ' || len(text) || ' characters, over 1500'"),
+    ("ends_in_lead_in", "5", f"ends_with(rtrim(text, {_S}), ':')", f"'Text ends with a colon: ...' || right(rtrim(text, {_S}), 60)"), ("navigation", "9", m("text", _NAV), "'Navigation words: ' || left(text, 80)"),
+    ("unsplit_item", "1", f"len({_ITEMS}) > 0", f"'Unsplit items at lines ' || array_to_string(list_transform({_ITEMS}[1:3], lambda y: y[1]), ', ') || ': ' || array_to_string(list_transform({_ITEMS}[1:3], lambda y: left(y[2], 60)), ' | ')"),
+    ("orphan_bullet", "6", f"regexp_matches({_L}[1], '^(-|\\*|bullet)') AND NOT regexp_matches(heading, '\\(part ([2-9]|\\d\\d+)/\\d+\\)') AND before IS NOT NULL AND NOT ends_with(rtrim(before, {_S}), ':')", "'Bullet without a lead-in in the clause before'"),
 ]
 VIOLATIONS = f"""{CL}, w AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY id) AS before FROM cl)
-{" UNION ALL ".join(f"SELECT doc_id, id, '{bug}' AS bug, '{rule}' AS rule FROM w WHERE {cond}" for rule, bug, cond in _CHECKS)}"""
+{" UNION ALL ".join(f"SELECT doc_id, id, '{bug}' AS bug, '{rule}' AS rule, {said} AS message FROM w WHERE {cond}" for rule, bug, cond, said in _CHECKS)}"""
 
 
 def dq_rules(spark, sf_dir):
@@ -58,8 +69,8 @@ def dq_counters(spark, sf_dir):
     return found.withColumn("kinds", F.size("problems").cast("long")).drop("problems")
 
 
-COUNTERS = f"""{CL}, c AS (SELECT doc_id, count(*) FILTER (trim(heading) = '') AS empty_heading, count(*) FILTER (len(heading) > 100) AS long_heading,
-  count(*) FILTER (ends_with(rtrim(text), ':')) AS ends_colon, count(*) FILTER (len(text) < 150) AS short, count(*) FILTER (len(text) > 1500) AS long FROM cl GROUP BY doc_id)
+COUNTERS = f"""{CL}, c AS (SELECT doc_id, count(*) FILTER (trim(heading, {_S}) = '') AS empty_heading, count(*) FILTER (len(heading) > 100) AS long_heading,
+  count(*) FILTER (ends_with(rtrim(text, {_S}), ':')) AS ends_colon, count(*) FILTER (len(text) < 150) AS short, count(*) FILTER (len(text) > 1500) AS long FROM cl GROUP BY doc_id)
 SELECT *, (empty_heading > 0)::BIGINT + (long_heading > 0)::BIGINT + (ends_colon > 0)::BIGINT + (short > 0)::BIGINT + (long > 0)::BIGINT AS kinds FROM c"""
 
 
@@ -67,7 +78,7 @@ def junk_delete(spark, sf_dir):
     return made_clauses(spark, sf_dir).where(R.is_junk(F.col("text"))).select("doc_id", "id")
 
 
-JUNK = f"""{CL}, l AS (SELECT doc_id, id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM cl)
+JUNK = f"""{CL}, l AS (SELECT doc_id, id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {_S})), lambda x: x <> '') AS l FROM cl)
 SELECT doc_id, id FROM l WHERE len(l) > 0 AND (len(list_filter(l, lambda x: NOT {m('x', P.NAV_LINE)})) = 0
   OR len(list_filter(l, lambda x: NOT (x IN ('Support', 'Cookie Settings', 'Careers', 'Help', '---') OR starts_with(x, '---')))) = 0
   OR (len(l) <= 3 AND len(list_filter(l, lambda x: NOT {m('x', P.GLUED_WORD)})) = 0))"""
@@ -85,19 +96,42 @@ def _fw(x: str, n: int) -> str:
     return f"CASE WHEN len({w}) > {n} THEN array_to_string({w}[1:{n}], ' ') || '...' ELSE {x} END"
 
 
-_LINE1 = "trim(string_split(text, chr(10))[1])"
-_PARTLAB = "' (part ' || regexp_extract(trim(heading), '(\\d+)/(\\d+)\\)$', 1) || '/' || regexp_extract(trim(heading), '(\\d+)/(\\d+)\\)$', 2) || ')'"
-REPAIR_HEADINGS = f"""{CL}, s AS (SELECT *, string_split(heading, ' > ') AS p,
-  CASE WHEN regexp_matches({_LINE1}, '^[A-Z][^.]+?\\.') THEN trim(regexp_extract({_LINE1}, '^([A-Z][^.]+?)\\.', 1)) ELSE {_fw(_LINE1, 6)} END || {_PARTLAB} AS made FROM cl),
-b AS (SELECT *, p[1] || ' > ' || CASE WHEN len(p[2]) > 60 THEN {_fw('p[2]', 6)} ELSE p[2] END AS pair, trim(left(rtrim(heading), len(rtrim(heading)) - 1)) AS less FROM s)
-SELECT doc_id, id,
-  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(heading, '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g'), '^[-=]{{4,}}\\s*', '', 'g'), '\\s*[-=]{{4,}}$', '', 'g')) AS debris,
-  CASE WHEN regexp_matches(trim(heading), '^[a-z]\\. \\(part \\d+/\\d+\\)$') THEN CASE WHEN len(made) > 100 THEN {_fw('text', 8)} || {_PARTLAB} ELSE made END
-    WHEN regexp_matches(trim(heading), '^[a-z]\\. > .+$') THEN CASE WHEN len(trim(heading)[6:]) > 100 THEN {_fw('trim(heading)[6:]', 8)} ELSE trim(heading)[6:] END ELSE heading END AS label,
-  CASE WHEN len(heading) <= 100 THEN heading WHEN len(p) = 1 THEN left(heading, 97) || '...' WHEN len(pair) > 100 THEN left(p[1], 97) || '...' ELSE pair END AS capped,
-  CASE WHEN NOT regexp_matches(heading, '^\\d+\\.') AND ends_with(rtrim(heading), '.') AND NOT ends_with(rtrim(heading), '...') AND len(less) <= 100 AND less <> '' THEN less ELSE heading END AS period,
-  CASE WHEN regexp_matches(heading, '^Item \\d+$') THEN {_fw('text', 8)} ELSE heading END AS item,
-  trim(rtrim(trim(regexp_replace(heading, '\\(part \\d+/\\d+\\)', '', 'g')), '>')) AS base FROM b"""
+def _debris(h: str) -> str:
+    for pattern, by in (("\\*\\*([^*]+)\\*\\*", "\\1"), ("\\*([^*]+)\\*", "\\1"), ("^[-=]{4,}\\s*", ""), ("\\s*[-=]{4,}$", "")):
+        h = f"regexp_replace({h}, '{pattern}', '{by}', 'g')"
+    return f"trim({h}, {_S})"
+
+
+def _label(h: str, t: str = "text") -> str:
+    line, s = f"trim(string_split({t}, chr(10))[1], {_S})", f"trim({h}, {_S})"
+    label = f"' (part ' || regexp_extract({s}, '(\\d+)/(\\d+)\\)$', 1) || '/' || regexp_extract({s}, '(\\d+)/(\\d+)\\)$', 2) || ')'"
+    made = f"CASE WHEN regexp_matches({line}, '^[A-Z][^.]+?\\.') THEN trim(regexp_extract({line}, '^([A-Z][^.]+?)\\.', 1), {_S}) ELSE {_fw(line, 6)} END || {label}"
+    rest = f"{s}[6:]"
+    return f"""CASE WHEN regexp_matches({s}, '^[a-z]\\. \\(part \\d+/\\d+\\)$') THEN CASE WHEN len({made}) > 100 THEN {_fw(t, 8)} || {label} ELSE {made} END
+    WHEN regexp_matches({s}, '^[a-z]\\. > .+$') THEN CASE WHEN len({rest}) > 100 THEN {_fw(rest, 8)} ELSE {rest} END ELSE {h} END"""
+
+
+def _capped(h: str) -> str:
+    p = f"string_split({h}, ' > ')"
+    pair = f"({p}[1] || ' > ' || CASE WHEN len({p}[2]) > 60 THEN {_fw(f'{p}[2]', 6)} ELSE {p}[2] END)"
+    return f"CASE WHEN len({h}) <= 100 THEN {h} WHEN len({p}) = 1 THEN left({h}, 97) || '...' WHEN len({pair}) > 100 THEN left({p}[1], 97) || '...' ELSE {pair} END"
+
+
+def _period(h: str) -> str:
+    less = f"trim(left(rtrim({h}, {_S}), len(rtrim({h}, {_S})) - 1), {_S})"
+    return f"CASE WHEN NOT regexp_matches({h}, '^\\d+\\.') AND ends_with(rtrim({h}, {_S}), '.') AND NOT ends_with(rtrim({h}, {_S}), '...') AND len({less}) <= 100 AND {less} <> '' THEN {less} ELSE {h} END"
+
+
+def _item(h: str, t: str = "text") -> str:
+    return f"CASE WHEN regexp_matches({h}, '^Item \\d+$') THEN {_fw(t, 8)} ELSE {h} END"
+
+
+def _base(h: str) -> str:
+    return f"trim(rtrim(trim(regexp_replace({h}, '\\(part \\d+/\\d+\\)', '', 'g'), {_S}), '>'), {_S})"
+
+
+REPAIR_HEADINGS = f"""{CL} SELECT doc_id, id, {_debris('heading')} AS debris, {_label('heading')} AS label, {_capped('heading')} AS capped, {_period('heading')} AS period,
+  {_item('heading')} AS item, {_base('heading')} AS base FROM cl"""
 
 
 def repair_mojibake(spark, sf_dir):
@@ -117,19 +151,54 @@ def repair_items(spark, sf_dir):
     return R.split_items(made_clauses(spark, sf_dir)).select("doc_id", "id", F.col("seg").cast("long").alias("seg"), "heading", "text")
 
 
-_ITEM = f"((regexp_matches(trim(line), {q(P.ITEM_LINE)}) AND len(trim(line)) > 20) OR regexp_matches(trim(line), '^([a-z])\\. ([A-Z][a-zA-Z ]+?)[. ]'))"
-REPAIR_ITEMS = f"""{CL}, e AS (SELECT doc_id, id, heading, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT *, string_split(text, chr(10)) AS l FROM cl)),
+_LINE = f"trim(line, {_S})"
+_LONG = f"(regexp_matches({_LINE}, {q(P.ITEM_LINE)}) AND len({_LINE}) > 20)"
+_ITEM = f"({_LONG} OR regexp_matches({_LINE}, {q(P.SHORT_ITEM)}))"
+_TITLE = f"CASE WHEN {_LONG} THEN regexp_extract({_LINE}, {q(P.ITEM_LINE)}, 2) ELSE regexp_extract({_LINE}, {q(P.SHORT_ITEM)}, 2) END"
+_CUT = f"""e AS (SELECT doc_id, id, heading, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT *, string_split(text, chr(10)) AS l FROM XX)),
 g AS (SELECT *, n > 1 AND {_ITEM} AS item, sum((n > 1 AND {_ITEM})::INT) OVER (PARTITION BY doc_id, id ORDER BY n) AS seg FROM e),
-p AS (SELECT doc_id, id, heading, seg, trim(string_agg(line, chr(10) ORDER BY n), ' ' || chr(10)) AS text, max(regexp_extract(trim(line), {q(P.ITEM_LINE)}, 2)) FILTER (item) AS t FROM g GROUP BY ALL),
-f AS (SELECT *, count(*) OVER w AS c, min(len(text)) OVER w AS s FROM p WHERE text <> '' WINDOW w AS (PARTITION BY doc_id, id))
-SELECT doc_id, id, seg, CASE WHEN seg = 0 THEN heading ELSE trim(regexp_replace(heading, '\\(part (\\d+)/(\\d+)\\)', '', 'g')) || ' > ' || rtrim(t, '.') END AS heading, text FROM f WHERE c > 1 AND s >= 50
-UNION ALL SELECT doc_id, id, 0, heading, text FROM cl WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = cl.doc_id AND f.id = cl.id AND c > 1 AND s >= 50)"""
+p AS (SELECT doc_id, id, heading, seg, trim(string_agg(line, chr(10) ORDER BY n), {_S}) AS text, max({_TITLE}) FILTER (item) AS t FROM g GROUP BY ALL),
+f AS (SELECT *, count(*) OVER w AS c, min(len(text)) OVER w AS s FROM p WHERE text <> '' WINDOW w AS (PARTITION BY doc_id, id)),
+pieces AS (SELECT doc_id, id, seg, CASE WHEN seg = 0 THEN heading ELSE trim(regexp_replace(heading, '\\(part (\\d+)/(\\d+)\\)', '', 'g'), {_S}) || ' > ' || rtrim(trim(t, {_S}), '.') END AS heading, text FROM f WHERE c > 1 AND s >= 50
+UNION ALL SELECT doc_id, id, 0, heading, text FROM XX o WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = o.doc_id AND f.id = o.id AND c > 1 AND s >= 50))"""
+REPAIR_ITEMS = f"{CL}, {_CUT.replace('XX', 'cl')} SELECT doc_id, id, seg, heading, text FROM pieces"
 
 
 def repair_all(spark, sf_dir):
     return R.repair(made_clauses(spark, sf_dir))
 
 
+def repair_log(spark, sf_dir):
+    """What each repair changes, in the order of the repairs."""
+    return R.repair_log(made_clauses(spark, sf_dir))
+
+
+# Every repair after the one before it; columns h1.. keep the headings on the way.
+_REPAIRED = f"""{CL}, junk AS (__JUNK__),
+k AS (SELECT * FROM cl o WHERE NOT EXISTS (SELECT 1 FROM junk WHERE junk.doc_id = o.doc_id AND junk.id = o.id)),
+x1 AS (SELECT *, {_debris('heading')} AS h1 FROM k), x2 AS (SELECT *, {_moji('h1')} AS h2, {_moji('text')} AS t2 FROM x1),
+x3 AS (SELECT doc_id, id, h2 AS heading, t2 AS text FROM x2), {_CUT.replace('XX', 'x3')},
+y1 AS (SELECT *, {_label('heading')} AS h4 FROM pieces), y2 AS (SELECT *, {_capped('h4')} AS h5 FROM y1), y3 AS (SELECT *, {_period('h5')} AS h6 FROM y2), y4 AS (SELECT *, {_item('h6')} AS h7 FROM y3),
+z1 AS (SELECT *, CASE WHEN regexp_matches(h7, '\\(part \\d+/\\d+\\)') THEN {_base('h7')} END AS base, try_cast(regexp_extract(h7, '\\(part (\\d+)/(\\d+)\\)', 1) AS INT) AS pk, try_cast(regexp_extract(h7, '\\(part (\\d+)/(\\d+)\\)', 2) AS INT) AS pn FROM y4),
+z2 AS (SELECT *, list(pk) OVER w AS ks, min(pn) OVER w AS n1, max(pn) OVER w AS n2, count(*) OVER w AS c, row_number() OVER (PARTITION BY doc_id, base ORDER BY pk, id, seg) AS r FROM z1 WINDOW w AS (PARTITION BY doc_id, base)),
+z3 AS (SELECT *, CASE WHEN base IS NOT NULL AND n1 = n2 AND (list_sort(list_distinct(ks)) = generate_series(2, n1) OR (NOT list_contains(ks, 1) AND c < n1)) THEN regexp_replace(h7, '\\(part \\d+/\\d+\\)', '(part ' || r || '/' || c || ')', 'g') ELSE h7 END AS h8 FROM z2)"""
+_REPAIRED = _REPAIRED.replace("__JUNK__", f"WITH {JUNK[len(CL) + 2 :]}")
+REPAIR_ALL = f"{_REPAIRED} SELECT doc_id, id AS old_id, row_number() OVER (PARTITION BY doc_id ORDER BY id, seg) AS id, h8 AS heading, text FROM z3"
+
+
+def _logged(bug: str, was: str, now: str, detail: str, table: str, where: str = "", new: str = "id::VARCHAR") -> str:
+    return f"SELECT doc_id, '{bug}' AS bug, id::VARCHAR AS old_id, {new} AS new_id, {was} AS old_heading, {now} AS new_heading, {detail} AS detail FROM {table} WHERE {where or f'{was} <> {now}'}"
+
+
+REPAIR_LOG = f"{_REPAIRED} " + " UNION ALL ".join([
+    _logged("9", "heading", "NULL", "'Deleted: ' || left(text, 120)", "cl JOIN junk USING (doc_id, id)", "true", "NULL"),
+    _logged("7", "heading", "h1", "'Debris removed from heading'", "x1"), _logged("10", "h1", "h2", "'Encoding or markup mended in heading'", "x2"),
+    _logged("10", "left(text, 50)", "left(t2, 50)", "'Encoding or markup mended in text'", "x2", "text <> t2"), _logged("1", "h2", "heading", "'Item cut off'", "(SELECT pieces.*, x2.h2 FROM pieces JOIN x2 USING (doc_id, id))", "seg > 0", "'(new)'"),
+    _logged("2", "heading", "h4", "'Label named'", "y1"), _logged("3", "h4", "h5", "'Heading shortened'", "y2"), _logged("3", "h5", "h6", "'Full stop removed'", "y3"), _logged("4", "h6", "h7", "'Generic heading replaced'", "y4"),
+    _logged("8", "h7", "h8", "'Part numbered anew'", "z3"),
+])
+
+
 def change_log(spark, sf_dir):
     """What the repair of encoding debris changes, as a full outer comparison of before and after; every ninth clause is missing after."""
     old = made_clauses(spark, sf_dir)
@@ -163,18 +232,20 @@ def part_renumber(spark, sf_dir):
     return R.renumber_parts(rows, ["id"])
 
 
-PART_RENUMBER = """WITH p AS (SELECT *, min(l_linenumber) OVER w AS lo, count(*) OVER w AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r
+PART_RENUMBER = """WITH p AS (SELECT *, min(l_linenumber) OVER w AS lo, count(*) OVER w AS c, list(l_linenumber) OVER w AS ks, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r
   FROM lineitem WHERE l_orderkey % 3 > 0 OR l_linenumber > 1 WINDOW w AS (PARTITION BY l_orderkey))
-SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS id, 'Order ' || l_orderkey || ' (part ' || CASE WHEN lo > 1 AND c < 7 THEN r || '/' || c ELSE l_linenumber || '/7' END || ')' AS heading FROM p"""
+SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS id, 'Order ' || l_orderkey || ' (part ' || CASE WHEN lo > 1 AND c < 7 OR list_sort(list_distinct(ks)) = [2, 3, 4, 5, 6, 7] THEN r || '/' || c ELSE l_linenumber || '/7' END || ')' AS heading FROM p"""
 
 
 def id_contiguity(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + F.when(F.col("conv_id") % 4 == 0, 2).otherwise(1)).alias("turn"))
-    return Q.id_gaps(t, "conv_id", "turn")
+    """Turns as ids: shifted in every fourth conversation, backwards in every fifth."""
+    turn = F.col("turn") + F.when(F.col("conv_id") % 4 == 0, 2).otherwise(1)
+    t = table(spark, sf_dir, "conversations").select("conv_id", turn.alias("turn"), F.when(F.col("conv_id") % 5 == 0, -F.col("turn")).otherwise(F.col("turn")).alias("pos"))
+    return Q.id_gaps(t, "conv_id", "turn", "pos")
 
 
-ID_CONTIGUITY = """WITH t AS (SELECT conv_id, turn + CASE WHEN conv_id % 4 = 0 THEN 2 ELSE 1 END AS turn FROM conversations)
-SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id HAVING list(turn ORDER BY turn) <> generate_series(1, count(*))"""
+ID_CONTIGUITY = """WITH t AS (SELECT conv_id, turn + CASE WHEN conv_id % 4 = 0 THEN 2 ELSE 1 END AS turn, CASE WHEN conv_id % 5 = 0 THEN -turn ELSE turn END AS pos FROM conversations)
+SELECT conv_id, count(*) AS n, array_to_string(list(turn ORDER BY pos)[1:20], ', ') AS got FROM t GROUP BY conv_id HAVING list(turn ORDER BY pos) <> generate_series(1, count(*))"""
 
 
 def dq_key_rules(spark, sf_dir):
@@ -190,11 +261,11 @@ SELECT event_id, valid, list_sort(list_filter(['k', 'id'], lambda x: NOT list_co
 
 QUERIES = {
     "dq_rules": dq_rules, "dq_rule_counts": dq_rule_counts, "dq_counters": dq_counters, "junk_delete": junk_delete, "repair_headings": repair_headings, "repair_mojibake": repair_mojibake,
-    "repair_items": repair_items, "repair_all": repair_all, "change_log": change_log, "part_contiguity": part_contiguity, "part_renumber": part_renumber,
+    "repair_items": repair_items, "repair_all": repair_all, "repair_log": repair_log, "change_log": change_log, "part_contiguity": part_contiguity, "part_renumber": part_renumber,
     "id_contiguity": id_contiguity, "dq_key_rules": dq_key_rules,
 }
 ORACLES = {
     "dq_rules": VIOLATIONS, "dq_rule_counts": f"SELECT rule, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({VIOLATIONS}) GROUP BY ROLLUP (rule)", "dq_counters": COUNTERS, "junk_delete": JUNK,
-    "repair_headings": REPAIR_HEADINGS, "repair_mojibake": REPAIR_MOJIBAKE, "repair_items": REPAIR_ITEMS, "change_log": CHANGE_LOG, "part_contiguity": PART_CONTIGUITY,
+    "repair_headings": REPAIR_HEADINGS, "repair_mojibake": REPAIR_MOJIBAKE, "repair_items": REPAIR_ITEMS, "repair_all": REPAIR_ALL, "repair_log": REPAIR_LOG, "change_log": CHANGE_LOG, "part_contiguity": PART_CONTIGUITY,
     "part_renumber": PART_RENUMBER, "id_contiguity": ID_CONTIGUITY, "dq_key_rules": DQ_KEYS,
 }

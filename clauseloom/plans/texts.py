@@ -145,7 +145,7 @@ def clause_split_full(spark, sf_dir):
     from clauseloom.operators.lines import assemble
 
     texts = assemble(structured_lines(spark, sf_dir))
-    return clauses.split(texts, clean=True).select("doc_id", "id", "heading", "text")
+    return clauses.split(texts, clean=True).select("doc_id", "id", "heading", "text", "error")
 
 
 def clause_merge(spark, sf_dir):

@@ -14,9 +14,9 @@ def read_results(raw: DataFrame) -> DataFrame:
 
 
 def flatten(results: DataFrame) -> DataFrame:
-    """A row for each clause, with doc_idx from 0; documents without clauses give a row with null id."""
+    """A row for each clause, with doc_idx and the clause's place ``pos`` from 0; documents without clauses give a row with null pos."""
     docs = results.select("file", F.col("result.company").alias("company"), F.posexplode_outer("result.documents").alias("doc_idx", "d"))
-    return docs.select("file", "company", "doc_idx", "d.title", "d.source", F.explode_outer("d.clauses").alias("c")).select("file", "company", "doc_idx", "title", "source", "c.*")
+    return docs.select("file", "company", "doc_idx", "d.title", "d.source", F.posexplode_outer("d.clauses").alias("pos", "c")).select("file", "company", "doc_idx", "title", "source", "pos", "c.*")
 
 
 def assemble(clauses: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
@@ -72,11 +72,23 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def report(violations: DataFrame, show: int = 200) -> int:
-    """Prints counts by file and rule, up to ``show`` lines, and gives the exit code: 1 if there is any violation."""
-    counts = violations.groupBy("doc_id", "rule").count().orderBy("doc_id", "rule").limit(show).collect()
-    for r in counts:
-        print(f"{r['doc_id']}: {r['rule']} {r['count']}")
-    total = violations.count()
-    print(f"{total} violations")
+def report_lines(violations: DataFrame) -> DataFrame:
+    """(file, place, line) of the report: a heading for each file, two lines for each violation and a total for each file.
+    A table to be written or shown in the order of file and place; nothing is gathered."""
+    own = Window.partitionBy("file").orderBy(F.col("doc_idx").asc_nulls_first(), F.col("id").asc_nulls_first(), "bug", "rule", "message")
+    rows = violations.withColumn("_n", F.row_number().over(own)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("file")))
+    place = F.format_string("  [Bug %s] clause %s | document %s", F.rpad("bug", 6, " "), F.lpad(F.coalesce(F.col("id").cast("string"), F.lit("?")), 5, " "), F.coalesce(F.col("doc_idx").cast("string"), F.lit("?")))
+    first = F.when(F.col("_n") == 1, F.concat(F.lit("-- "), "file", F.lit(" "), F.lit("-" * 16)))
+    last = F.when(F.col("_n") == F.col("_all"), F.format_string("Total: %d", "_all"))
+    lines = F.filter(F.array(first, place, F.concat(F.lit(" " * 13), "message"), last), lambda x: x.isNotNull())
+    return rows.select("file", F.col("_n").cast("long").alias("_n"), F.posexplode(lines).alias("k", "line")).select("file", F.struct("_n", "k").alias("place"), "line")
+
+
+def report(violations: DataFrame) -> int:
+    """Prints the whole report file by file, a partition at a time, and gives the exit code: 1 if there is any violation."""
+    total = 0
+    for r in report_lines(violations).orderBy("file", "place").toLocalIterator():
+        print(r["line"])
+        total += r["line"].startswith("  [Bug ")
+    print(f"Total: {total} violations" if total else "All files pass.")
     return int(total > 0)
