@@ -8,7 +8,7 @@ front, and equal fronts meet in an equi-join that checks the whole distance.
 
 The next document needs an order of all ids. Ids are dealt to ranges by splitters from an approximate quantile sketch
 over all of them (at most ``MOST_RANGES``, found by a binary search over a literal), so texts move once, by range, and
-each range is ordered on its own; the first document of a range also goes to the range before as a guest. What is
+each range is ordered on its own (all null ids, or all rows of one id, are in one); the first document of a range also goes to the range before as a guest. What is
 broadcast has one row for each range.
 
 Null or empty text: no terms, all bits 0. Equal ids follow each other in order of text; null ids come last. A single
@@ -28,7 +28,8 @@ from clauseloom.llm.simhash import as_hex, distance, fingerprint, votes
 SHINGLE = 2
 RADIUS = 3
 BLOCKS, FREE = 6, 3
-RANGE_ROWS, MOST_RANGES = 1000, 4096
+#: Documents in a range, while there are no more than MOST_RANGES; then ranges grow: what is broadcast has a row for each.
+RANGE_ROWS, MOST_RANGES = 1000, 1 << 17
 SEARCH_EVERY = 50
 
 
@@ -42,7 +43,8 @@ def _range_of(value: Column, cuts: list) -> Column:
     """Number of cuts at or below the value, by binary search."""
     if not cuts:
         return F.lit(0)
-    edges, steps = F.array(*map(F.lit, cuts)), [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    # one literal once folded, however many cuts there are
+    edges, steps = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>"), [1 << i for i in reversed(range(len(cuts).bit_length()))]
     found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when(F.coalesce(F.get(edges, lo + s - 1) <= value, F.lit(False)), lo + s).otherwise(lo))
     return F.when(value.isNull(), len(cuts)).otherwise(found)
 
@@ -109,7 +111,7 @@ def near_search(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blo
     masks = _front_masks(blocks, radius)
     probe = queries.select("fp").distinct().select(F.col("fp").alias("query"), _fronts(F.col("fp"), masks).alias("f")).select("query", "f.*")
     table = corpus.select("fp").distinct().select("fp", _fronts(F.col("fp"), masks).alias("f")).select("fp", "f.*")
-    near = probe.join(table, (probe["table"] == table["table"]) & (probe["front"] == table["front"]) & (distance(F.col("query"), F.col("fp")) <= radius))
+    near = probe.join(table.hint("merge"), (probe["table"] == table["table"]) & (probe["front"] == table["front"]) & (distance(F.col("query"), F.col("fp")) <= radius))
     return near.select("query", "fp").distinct().withColumn("distance", distance(F.col("query"), F.col("fp")))
 
 
@@ -122,9 +124,9 @@ def op7_doc_fingerprints(spark, sf_dir: str) -> DataFrame:
     found = written(edited_fingerprints(documents(spark, sf_dir)), "fingerprints")
     # documents near each one whose id is divisible by SEARCH_EVERY, itself included
     sizes = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    hits = near_search(found.where(F.col("doc_id") % SEARCH_EVERY == 0), found).join(sizes, "fp").groupBy("query").agg(F.sum("n").alias("n_near"))
+    hits = near_search(found.where(F.col("doc_id") % SEARCH_EVERY == 0), found).join(sizes.hint("merge"), "fp").groupBy("query").agg(F.sum("n").alias("n_near"))
     asked = F.when(F.col("doc_id") % SEARCH_EVERY == 0, F.col("n_near"))
-    return found.join(hits, found["fp"] == hits["query"], "left").select(
+    return found.join(hits.hint("merge"), found["fp"] == hits["query"], "left").select(
         "doc_id", "n_chars", "edited_sha256", as_hex("fp").alias("fingerprint"), as_hex("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), asked.alias("n_near"),
     )

@@ -170,6 +170,8 @@ def test_fingerprints(spark, folder, rows):
         t, following = r[1] or "", ordered[(i + 1) % len(ordered)]
         half = len(t) // 2
         x = found[r[0]]
+        assert int(x.fingerprint, 16) == plain_votes(t, 2)
+        assert int(x.edited_fingerprint, 16) == plain_votes(t[: len(t) - half] + (following[1] or "")[:half], 2)
         assert x.n_chars == len(t)
         assert x.edited_sha256 == sha(t[: len(t) - half] + (following[1] or "")[:half])
         assert same.setdefault(t, x.fingerprint) == x.fingerprint
@@ -179,6 +181,18 @@ def test_fingerprints(spark, folder, rows):
         assert x.n_near == (near if r[0] % 50 == 0 else None)
 
 
+def plain_votes(t, k):
+    """SimHash by signed votes of all terms, as in the books."""
+    w = WORD.findall(t)
+    terms = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
+    votes = [0] * 64
+    for s in terms:
+        h = xxhash.xxh64_intdigest(s.encode(), seed=42)
+        for b in range(64):
+            votes[b] += 1 if h >> b & 1 else -1
+    return sum(1 << b for b in range(64) if votes[b] > 0)
+
+
 def plain_simhash(t, k=4):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
     terms = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
