@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,11 +90,23 @@ def plain(c: Column) -> Column:
 # -- names and headings -----------------------------------------------------------------------------------------------
 
 
+def _decomposed() -> tuple[str, list[str]]:
+    """Characters whose compatibility decomposition (NFKD) has ASCII characters, and those."""
+    pairs = ((c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) for c in map(chr, range(128, 0x1FFFF)))
+    found = [(c, x) for c, x in pairs if x]
+    return "".join(c for c, _ in found), [x for _, x in found]
+
+
+def ascii_letters(c: Column) -> Column:
+    """Characters decomposed by compatibility and without what isn't ASCII; character by character only where there is any."""
+    keys, values = _decomposed()
+    plain_of = F.split(F.lit("\x00".join(values)), "\x00")
+    one = lambda x: F.when(x.rlike(r"^[\x00-\x7F]$"), x).otherwise(F.coalesce(F.get(plain_of, F.instr(F.lit(keys), x) - 1), F.lit("")))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+
+
 def slugify(c: Column) -> Column:
-    accents = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-    plain_letters = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-    ascii_only = F.regexp_replace(F.translate(c, accents, plain_letters), r"[^\x00-\x7F]", "")
-    dropped = F.lower(F.btrim(F.regexp_replace(ascii_only, P.SLUG_DROP, ""), F.lit(" \t\n\r\x0b\x0c")))
+    dropped = F.lower(F.btrim(F.regexp_replace(ascii_letters(c), P.SLUG_DROP, ""), F.lit(" \t\n\r\x0b\x0c")))
     return F.regexp_replace(dropped, r"[\s_-]+", "_")
 
 

@@ -205,5 +205,6 @@ def neighbours_in_section(lines: DataFrame) -> DataFrame:
 
 def first_seen(lines: DataFrame, key: str = "line") -> DataFrame:
     """The first row, by pos, of each value of the key within its document."""
-    order = Window.partitionBy("doc_id", key).orderBy("pos")
-    return lines.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    rest = [c for c in lines.columns if c not in ("doc_id", key)]
+    first = lines.groupBy("doc_id", key).agg(F.min(F.struct("pos", *(c for c in rest if c != "pos"))).alias("_f"))
+    return first.select(*(f"_f.{c}" if c in rest else c for c in lines.columns))

@@ -39,6 +39,40 @@ def translate(clauses: DataFrame, translations: DataFrame, lang: str, id_: str =
     return found.withColumn("heading", F.coalesce("_h", F.lit(MISSING))).withColumn("summary", F.coalesce("_s", F.lit(MISSING))).drop("_h", "_s")
 
 
+def localised(clauses: DataFrame, labels: DataFrame, lang: str, column: str) -> DataFrame:
+    """``label``: the value of the column in the language, from labels (lang, key, label); the value itself where there is none."""
+    own = labels.where(F.col("lang") == lang).select(F.col("key").alias(column), F.col("label"))
+    return clauses.join(own, column, "left").withColumn("label", F.coalesce("label", column))
+
+
+def risk_filter(clauses: DataFrame, shown: str, level: str = "risk_level") -> DataFrame:
+    """Clauses of the level that a reader has chosen: All, High, Medium or Low."""
+    return clauses if shown == "All" else clauses.where(F.col(level) == shown.lower())
+
+
+def clause_dump(clauses: DataFrame) -> DataFrame:
+    """Length and beginnings of each clause, to look at."""
+    return clauses.select("doc_id", "id", F.length("text").cast("long").alias("length"), F.left("heading", F.lit(50)).alias("heading"), F.left("text", F.lit(50)).alias("text"))
+
+
+def changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(key, state) of what was found before, after or both times: fixed, appeared, remains."""
+    a, b = before.select(*key).distinct().withColumn("_a", F.lit(1)), after.select(*key).distinct().withColumn("_b", F.lit(1))
+    return a.join(b, key, "full_outer").select(*key, F.when(F.col("_b").isNull(), "fixed").when(F.col("_a").isNull(), "appeared").otherwise("remains").alias("state"))
+
+
+def triage(changed: DataFrame, by: str) -> DataFrame:
+    """Found before, fixed and left for review by file, with a total row (null)."""
+    s = F.col("state")
+    return changed.rollup(by).agg(F.count_if(s != "appeared").alias("before"), F.count_if(s == "fixed").alias("fixed"), F.count_if(s != "fixed").alias("review"))
+
+
+def change_lines(log: DataFrame) -> DataFrame:
+    """(doc_id, line) of a repair log, details cut to 80 characters."""
+    line = F.concat(F.lit("[Bug "), "bug", F.lit("] "), F.coalesce("old_id", F.lit("?")), F.lit(" -> "), F.coalesce("new_id", F.lit("None")), F.lit(": "), F.left("detail", F.lit(80)))
+    return log.select("doc_id", line.alias("line"))
+
+
 def flag_risks(clauses: DataFrame, text: str = "text") -> DataFrame:
     """Extension: ``categories``, the risk categories whose pattern the text matches."""
     rows = [F.when(F.col(text).rlike(p), F.lit(name)) for name, p in RISK_PATTERNS.items()]

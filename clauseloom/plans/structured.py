@@ -46,7 +46,7 @@ sl AS (SELECT doc_id, pos::INT AS pos, CASE (doc_id + pos) % 13
 
 def q(pattern: str) -> str:
     """A pattern as a SQL literal in RE2's flavour."""
-    return "'" + pattern.replace(r"\x27", "'").replace("'", "''") + "'"
+    return "'" + pattern.replace("'", "''") + "'"
 
 
 def m(column: str, pattern: str) -> str:
@@ -231,11 +231,6 @@ SELECT a.doc_id, a.pos, a.section_id, coalesce(o.st.h, a.section) AS parent, sum
 FROM c5 a LEFT JOIN c3 o ON a.doc_id = o.doc_id AND a.top = o.pos"""
 
 
-def compose_headings(spark, sf_dir):
-    found = L.block_starts(L.sections(structured_lines(spark, sf_dir))).where("start.level = 'sub'")
-    return found.select("doc_id", "pos", T.compose(F.col("parent"), F.col("start.heading")).alias("heading"))
-
-
 def prev_clause_colon(spark, sf_dir):
     """Lines that start like a bullet though the line before doesn't introduce a list."""
     n = L.neighbours(structured_lines(spark, sf_dir))
@@ -255,7 +250,7 @@ QUERIES = {
     "line_kinds": line_kinds, "chrome_filter": chrome_filter, "link_lines": link_lines, "footer_strip": footer_strip, "caps_ratio": caps_ratio,
     "title_predicate": title_predicate, "boundary_classify": boundary_classify, "setext_rewrite": setext_rewrite, "toc_run_detection": toc_run_detection,
     "toc_fuzzy_drop": toc_fuzzy_drop, "line_unwrap": line_unwrap, "next_nonblank": next_nonblank, "section_carry": section_carry, "block_ids": block_ids,
-    "compose_headings": compose_headings, "prev_clause_colon": prev_clause_colon, "seen_dedup": seen_dedup,
+    "prev_clause_colon": prev_clause_colon, "seen_dedup": seen_dedup,
 }
 
 ORACLES = {

@@ -8,6 +8,7 @@ from clauseloom.functions import patterns as P
 from clauseloom.functions import text as T
 from clauseloom.operators import clauses, html
 from clauseloom.plans.structured import q, structured_lines
+from clauseloom.sources import catalogue as sources
 
 
 def table(spark, sf_dir, name):
@@ -132,8 +133,10 @@ SELECT page_id, len(CASE WHEN br THEN three ELSE base END) AS chars, CASE WHEN b
 
 def host_allowlist(spark, sf_dir):
     """Pages whose host is on a list, taken from the pages of even id; a broadcast semi-join for a list, here the same table."""
-    p = table(spark, sf_dir, "pages").select("page_id", T.host(F.col("url")).alias("host"))
-    return p.join(p.where(F.col("page_id") % 7 == 0).select("host").distinct(), "host", "left_semi").select("page_id", "host")
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    some = p.where(F.col("page_id") % 7 == 0).select(T.host(F.col("url")).alias("host")).distinct().withColumn("allowed", F.lit(True))
+    verdicts = p.select(T.host(F.col("url")).alias("host")).distinct().join(some, "host", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    return sources.gate(p, verdicts).where("allowed").select("page_id", "host")
 
 
 HOSTS = r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM pages)

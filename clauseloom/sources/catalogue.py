@@ -98,6 +98,8 @@ def http_reader(timeout: float = 30.0, user_agent: str = "Mozilla/5.0") -> Calla
             return None, None, f"HTTP {e.code}"
         except TimeoutError:
             return None, None, "Timeout"
+        except urllib.error.URLError as e:  # connecting timed out, or failed
+            return None, None, "Timeout" if isinstance(e.reason, TimeoutError) else str(e.reason)
 
     return read
 
@@ -126,3 +128,57 @@ def pdf_text(files: DataFrame, content: str = "content") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([text(x) for x in b.column(b.schema.get_field_index(content)).to_pylist()], pa.string())], schema.names)
 
     return files.mapInArrow(run, schema)
+
+
+def load_sources(given: DataFrame, reader: Callable[[str], tuple] | None = None, source: str = "source") -> DataFrame:
+    """``given`` with kind and ``text``: of a url what the reader fetches, as text (a page's runs of text apart by blank lines,
+    a PDF's pages); of a file its text; of a text itself. What can't be read has an empty text and ``err``."""
+    from clauseloom.operators.html import flat_text
+
+    rows = dispatch(given, source)
+    none = F.lit(None).cast("string")
+    fetched = fetch(rows.where("kind = 'url'").withColumn("url", F.col(source)), reader or http_reader(20.0))
+    page = F.regexp_replace(flat_text(F.coalesce("html", F.lit(""))), r"\s*\n\s*", "\n\n")
+    pages = pdf_text(fetched, "pdf").withColumn("text", F.when(F.col("ctype") == "pdf", F.col("text")).otherwise(page))
+    urls = pages.select(*given.columns, "kind", "text", "err")
+    plain = rows.where("kind = 'text'").select(*given.columns, "kind", F.col(source).alias("text"), none.alias("err"))
+    return urls.unionByName(plain).unionByName(_load_files(rows.where("kind in ('file', 'pdf')"), given.columns, source))
+
+
+def _load_files(rows: DataFrame, keep: list[str], source: str) -> DataFrame:
+    """Files by path through the cluster's file system; a path that isn't there counts as the text that it is."""
+    from pyspark.sql import types as S
+
+    schema = S.StructType([*rows.schema.fields, S.StructField("content", S.BinaryType()), S.StructField("err", S.StringType())])
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        def read(path: str):
+            try:
+                fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+                with fs.open_input_stream(at) as f:
+                    return f.read(), None
+            except FileNotFoundError:
+                return None, None
+            except Exception as e:
+                return b"", str(e)
+
+        for b in batches:
+            found = [read(x) for x in b.column(b.schema.get_field_index(source)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.binary()), pa.array([e for _, e in found], pa.string())], schema.names)
+
+    files = pdf_text(rows.mapInArrow(run, schema))
+    text = F.when(F.col("content").isNull(), F.col(source)).when(F.col("kind") == "pdf", F.col("text")).otherwise(F.decode("content", "UTF-8"))
+    return files.withColumn("text", text).select(*keep, "kind", "text", "err")
+
+
+def literal_json(spark: SparkSession, raw: str, schema: str) -> DataFrame:
+    """Rows of a JSON array given in the program."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(raw), f"array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in schema.split(','))}>>")))
+
+
+def inline_texts(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+    """(company, text) of texts given in the program."""
+    return spark.createDataFrame(list(texts.items()), "company string, text string")

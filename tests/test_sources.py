@@ -130,3 +130,26 @@ def test_simplify_and_translate(spark):
     assert got.counts.asDict() == {"high": 1, "medium": 0, "low": 1, "total": 2} and got.summary == "1 high-risk clauses found" and len(got.clauses) == 2
     words = spark.createDataFrame([("hi", 1, "H", "S")], "lang string, id int, heading string, summary string")
     assert {r.id: (r.heading, r.summary) for r in report.translate(rows, words, "hi").collect()} == {1: ("H", "S"), 2: (report.MISSING, report.MISSING)}
+
+
+def test_sources_of_every_kind(spark, tmp_path):
+    from clauseloom.sources import catalogue
+
+    (tmp_path / "a.md").write_text("from a file")
+    pages = {"https://x.example/a": ("<html><script>no</script><p>One</p>\n<p>Two &amp; three</p></html>", "html", None), "https://x.example/b": (None, None, "HTTP 404")}
+    given = [*pages, str(tmp_path / "a.md"), "missing.txt", "several\nlines"]
+    rows = spark.createDataFrame([(x,) for x in given], "source string")
+    found = {r.source: (r.kind, r.text, r.err) for r in catalogue.load_sources(rows, lambda url: pages[url]).collect()}
+    assert found["https://x.example/a"] == ("url", "One\n\nTwo & three", None) and found["https://x.example/b"] == ("url", "", "HTTP 404")
+    assert found[given[2]] == ("file", "from a file", None) and found["missing.txt"] == ("file", "missing.txt", None)
+    assert found["several\nlines"] == ("text", "several\nlines", None)
+
+
+def test_slugs_decompose_by_compatibility(spark):
+    from pyspark.sql import functions as F
+
+    from clauseloom.functions import text as T
+
+    names = ["Ő ﬁrm Ā", "Ünï™ ½", "Straße 日本", "plain_name"]
+    found = [r.s for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(T.slugify(F.col("n")).alias("s")).collect()]
+    assert found == ["o_firm_a", "unitm_12", "strae", "plain_name"]
