@@ -19,6 +19,8 @@ id and text are interchangeable. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +29,15 @@ from clauseloom.llm.common import documents, whole_text, written
 SHARDS = 24
 SAMPLE = 24_000
 RANGES = 768
-ROUNDS = 6
 _LOW = (1 << 22) - 1
 
 
-def shard_records(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, key)."""
+def shard_records(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, key) and the columns in ``keep``."""
     t = whole_text(text)
     high = F.xxhash64(t).bitwiseAND(~_LOW)
     low = F.xxhash64(F.lit(7), F.col(doc_id)).bitwiseAND(_LOW)
-    return df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), high.bitwiseOR(low).alias("key"))
+    return df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), high.bitwiseOR(low).alias("key"), *keep)
 
 
 def _sampled(records: DataFrame, total: int, wanted: int) -> list[tuple[int, float]]:
@@ -81,20 +82,19 @@ def splitters(records: DataFrame, sample: int = SAMPLE, ranges: int = RANGES) ->
     if not total:
         return [], []
     cuts = sorted(set(_quantiles(_sampled(records, total, sample), ranges)))
-    for _ in range(ROUNDS):
+    while True:
         found = {r.part: r for r in _ranged(records, cuts).groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("low"), F.max("key").alias("high")).collect()}
+        # fewer than ranges / 2 of them can have more than twice a range's share
         over = [r for r in found.values() if r.bytes > 2 * total / ranges and r.low < r.high]
-        more: set[int] = set()
-        if over:
-            mine = F.lit(False)
-            for r in over[:200]:
-                mine = mine | F.col("key").between(r.low, r.high)
-            inside = _sampled(records.where(mine), sum(r.bytes for r in over[:200]), sample)
-            for r in over[:200]:
-                own = [(k, w) for k, w in inside if r.low <= k <= r.high]
-                more |= {k for k in _quantiles(own, 1 + int(2 * r.bytes * ranges / total)) if k < r.high}
-        if not more - set(cuts):
+        if not over:
             break
+        mine = reduce(lambda x, y: x | y, [F.col("key").between(r.low, r.high) for r in over])
+        inside = _sampled(records.where(mine), sum(r.bytes for r in over), sample)
+        more: set[int] = set()
+        for r in over:
+            own = [(k, w) for k, w in inside if r.low <= k < r.high]
+            # without a key of its own in the sample, a range is cut in the middle
+            more |= set(_quantiles(own, 1 + int(2 * r.bytes * ranges / total))) or {own[-1][0] if own else (r.low + r.high) // 2}
         cuts = sorted({*cuts, *more})
     return cuts, [(found[p].bytes, found[p].rows) if p in found else (0, 0) for p in range(len(cuts) + 1)]
 
@@ -122,11 +122,20 @@ def shard(records: DataFrame, shards: int = SHARDS) -> DataFrame:
     return placed.select(*records.columns, "shard", (F.col("_rank") - base).cast("long").alias("slot"))
 
 
-def write_shards(df: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Writes df's rows as Parquet folders shard=0.. under path, each in slot order."""
-    spots = placed.select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = df.join(spots, df[doc_id].eqNullSafe(spots["_id"])).drop("_id")
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Writes df's rows as Parquet folders shard=0.. under path, each in slot order.
+
+    A row meets its place by its id, key, size and checksum, and by number among rows that are equal in these: each row is
+    written once, also where ids are null or repeated.
+    """
+    keys = ["doc_id", "key", "size", "text_crc32"]
+    number = F.row_number().over(Window.partitionBy(*(f"_{k}" for k in keys)).orderBy("_o"))
+    own = shard_records(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*df.columns).alias("_row")), keep=("_row",))
+    rows = own.select("_row", *(F.col(k).alias(f"_{k}") for k in keys), F.lit(0).alias("_o")).withColumn("_n", number).drop("_o")
+    spots = placed.select("shard", "slot", *(F.col(k).alias(f"_{k}") for k in keys), F.col("slot").alias("_o")).withColumn("_n", number).drop("_o")
+    both = rows.alias("r").join(spots.alias("s"), reduce(lambda x, y: x & y, [F.col(f"r._{k}").eqNullSafe(F.col(f"s._{k}")) for k in (*keys, "n")]))
+    made = both.select(*(F.col(f"r._row.{c}").alias(c) for c in df.columns if c != "shard"), F.col("s.shard").alias("shard"), F.col("s.slot").alias("_slot"))
+    made.repartition("shard", F.floor(F.col("_slot") / 100_000)).sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
 
 
 def op6_shard_splitters(spark, sf_dir: str) -> DataFrame:
