@@ -36,8 +36,10 @@ KEY_COST, PAIR_COST = 1.0, 0.004
 SMALL_RUN, LARGE_RUN = 24, 8192
 #: Rounds of the plain replay in tests/llm/test_pipeline.py; near_copies() judges every member and has none.
 ROUNDS = 4
-#: Minimum hashes of near_copies(): at a Jaccard similarity of 0.8 a pair has a band in common but in 3 of 100,000 cases.
-BANDS, BAND_ROWS = 20, 4
+#: Minimum hashes of near_copies(): at a Jaccard similarity of 0.8 a pair has a band in common but in 3 of a million cases.
+BANDS, BAND_ROWS = 24, 4
+#: Texts at a time of which one task of near_copies() emits bands, and members of a group that one task judges at first.
+BAND_CHUNK, BLOCK = 20_000, 512
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
@@ -354,17 +356,37 @@ def band_keys(h):
 
 
 def emit_bands(k: int):
-    """From rows (node, text): (key, node) for each band."""
+    """From rows (node, text): (key, a, b). What equal bands of a chunk's texts connect leaves the task as links (a, b)
+    without a key; of each different key one row (key, a, a). However many texts have a band in common, its key is met
+    once for each chunk."""
 
-    def run(batches):
+    def made(nodes: list, keys: list):
         import numpy as np
         import pyarrow as pa
 
+        node, key = np.array(nodes, dtype=np.int64), np.concatenate(keys)
+        owner = np.repeat(node, BANDS)
+        order = np.lexsort((owner, key))
+        owner, key = owner[order], key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = owner[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        link = np.unique(np.stack([first[first != owner], owner[first != owner]]), axis=1)
+        none = pa.nulls(link.shape[1], pa.int64())
+        keyed = [pa.array(key[new].view(np.int64)), pa.array(owner[new]), pa.array(owner[new])]
+        yield pa.RecordBatch.from_arrays(keyed, ["key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([none, pa.array(link[0]), pa.array(link[1])], ["key", "a", "b"])
+
+    def run(batches):
+        seen: dict = {}
         for b in batches:
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            for s in range(0, len(node), 10_000):
-                keys = [band_keys(shingle_hashes((t or "").encode(), k)) for t in b.column(1).slice(s, 10_000).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node[s : s + 10_000], BANDS))], ["key", "node"])
+            for n, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if n not in seen:  # of equal texts one
+                    seen[n] = band_keys(shingle_hashes((t.as_py() or "").encode(), k))
+                if len(seen) >= BAND_CHUNK:
+                    yield from made(list(seen), list(seen.values()))
+                    seen = {}
+        if seen:
+            yield from made(list(seen), list(seen.values()))
 
     return run
 
@@ -391,8 +413,10 @@ def band_stars(batches):
 
 def band_links(rows: DataFrame, k: int) -> DataFrame:
     """Links (a, b) that connect the nodes of rows (node, text) which have a band in common."""
-    keys = rows.select("node", "text").mapInArrow(emit_bands(k), "key long, node long")
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(band_stars, "a long, b long").distinct()
+    found = written(rows.select("node", "text").mapInArrow(emit_bands(k), "key long, a long, b long"), "bands")
+    keys = found.where("key is not null").select("key", F.col("a").alias("node"))
+    stars = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(band_stars, "a long, b long")
+    return found.where("key is null").select("a", "b").union(stars).distinct()
 
 
 class FirstCome:
@@ -405,14 +429,17 @@ class FirstCome:
     def __init__(self, similarity: float):
         self.similarity, self.kept, self.by = similarity, [], {}
 
-    def copy(self, x) -> bool:
+    def probe(self, x) -> list:
+        # one element more than needed where similarity * n is whole, whatever its rounding
+        return x[: len(x) - max(1, ceil(self.similarity * len(x) - 1e-6)) + 1].tolist()
+
+    def like(self, x) -> bool:
+        """Whether x is like one that is kept."""
         import numpy as np
 
         n = len(x)
-        # one element more than needed where similarity * n is whole, whatever its rounding
-        probe = x[: n - max(1, ceil(self.similarity * n - 1e-6)) + 1].tolist()
         seen: set[int] = set()
-        for h in probe:
+        for h in self.probe(x):
             for i in self.by.get(h, ()):
                 if i not in seen:
                     seen.add(i)
@@ -422,45 +449,71 @@ class FirstCome:
                         both = int(np.count_nonzero(y[at] == x))
                         if both >= self.similarity * (n + len(y) - both):
                             return True
-        for h in probe:
+        return False
+
+    def add(self, x) -> None:
+        for h in self.probe(x):
             self.by.setdefault(h, []).append(len(self.kept))
         self.kept.append(x)
-        return False
+
+    def copy(self, x) -> bool:
+        found = self.like(x)
+        if not found:
+            self.add(x)
+        return found
 
 
 def first_come(k: int, similarity: float):
-    """From rows (group, doc_id, sha, text) sorted by the first three: (doc_id, sha) of those like one that stays."""
+    """From rows (group, doc_id, sha, head, text) sorted by group, heads first, then id and hash: (group, doc_id, sha, head,
+    stays). A group's heads are known to stay; where it has any, its other members are judged against them only."""
 
     def run(batches):
         import pyarrow as pa
 
-        at, last, held = None, None, None
+        at, last, stays, held, heads = None, None, False, None, False
         for b in batches:
-            hits = []
-            for r, (group, i, sha, text) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), strict=True)):
+            out = []
+            for group, i, sha, head, text in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4), strict=True):
                 if group != at:
-                    at, last, held = group, None, FirstCome(similarity)
+                    at, last, held, heads = group, None, FirstCome(similarity), bool(head)
                 if (i, sha) != last:  # a repeated row is no copy of itself
-                    last = (i, sha)
-                    if held.copy(shingle_hashes((text.as_py() or "").encode(), k)):
-                        hits.append(r)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(hits, pa.int64())) for c in (1, 2)], ["doc_id", "sha"])
+                    last, x = (i, sha), shingle_hashes((text.as_py() or "").encode(), k)
+                    if head:
+                        held.add(x)
+                    stays = bool(head) or not (held.like(x) if heads else held.copy(x))
+                out.append(stays)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(4)), pa.array(out, pa.bool_())], ["group", "doc_id", "sha", "head", "stays"])
 
     return run
 
 
-def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judged(own: DataFrame, parts: list, k: int, similarity: float) -> DataFrame:
+    """first_come() for rows (group, doc_id, sha, head, text and the columns ``parts``, by which groups are divided)."""
+    kind = {f.name: f.dataType.simpleString() for f in own.schema}
+    rows = own.withColumn("_g", F.concat_ws(":", "group", *parts))
+    dealt = rows.repartition("_g").sortWithinPartitions("_g", F.col("head").desc(), F.col("doc_id").asc_nulls_last(), "sha")
+    made = dealt.select(F.col("_g").alias("group"), "doc_id", "sha", "head", "text")
+    found = made.mapInArrow(first_come(k, similarity), f"group string, doc_id {kind['doc_id']}, sha string, head boolean, stays boolean")
+    return found.withColumn("group", F.substring_index("group", ":", 1).cast(kind["group"]))
+
+
+def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius: int, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(_copy, _sha): id and text hash of the documents to drop so that one of each group of near copies stays.
 
     Candidates are the components of two kinds of links together: near fingerprints (shingles of ``probe_k`` words,
-    ``radius`` bits) and common bands of minimum hashes (shingles of ``k`` words). Of equal texts the smallest id stays. Of a component's other texts, in the order of their ids, each goes if the Jaccard similarity of
-    its set of k-word shingles and that of one that stays is at least ``similarity``: every member is judged against
-    all that stay, found by shared shingles. A task holds the sets that stay of one component. Null ids stay.
+    ``radius`` bits) and common bands of minimum hashes (shingles of ``k`` words), which alone find all pairs at the
+    similarity but 3 in a million. Of equal texts the smallest id stays. Of a component's other texts, in the order of
+    their ids (null last), each goes if the Jaccard similarity of its set of k-word shingles and that of one that stays
+    is at least ``similarity``: every member is judged against all that stay, found by shared shingles.
+
+    A component of more than ``block`` members is judged in rounds: about ``block`` of its smallest ids in one task, then
+    all others against those that stay of them, dealt over as many tasks as there are blocks; what is like none goes on,
+    in blocks of twice the size. A task holds the sets that stay of one block.
     """
-    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.sha2(whole_text(text), 256).alias("sha"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.sha2(whole_text(text), 256).alias("sha"))
     ids = written(rows.select("doc_id", "sha"), "near-ids")
     firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    same = ids.join(firsts, "sha").where("doc_id <> first").select("doc_id", "sha")
+    same = ids.join(firsts, "sha").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "sha")
     # a node is a text: texts whose nodes are equal by chance are candidates only
     nodes = rows.select(node_of("sha").alias("node"), "text")
     found = written(fingerprints(nodes, "node", k=probe_k).distinct(), "probe-fp")
@@ -468,10 +521,38 @@ def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius:
     sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
     members = group.join(sizes, "group", "left_semi")
     chosen = written(firsts.withColumn("node", node_of("sha")).join(members, "node").select(F.col("first").alias("doc_id"), "sha", "group"), "near-members")
-    own = rows.join(chosen, ["doc_id", "sha"]).select("group", "doc_id", "sha", "text")
-    schema = own.select("doc_id", "sha").schema
-    near = own.repartition("group").sortWithinPartitions("group", "doc_id", "sha").mapInArrow(first_come(k, similarity), schema)
-    return same.union(near).distinct().select(F.col("doc_id").alias("_copy"), F.col("sha").alias("_sha"))
+    key = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["sha"] == b["sha"])
+    own = written(rows.join(chosen, key(rows, chosen)).select("group", chosen["doc_id"], chosen["sha"], "text"), "near-texts")
+    # null ids are last
+    place, last = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf"))), F.lit(float("inf"))
+    halves = [0.5**i for i in range(1, 31)]
+    drop, open_ = [same], own
+    while True:
+        n = open_.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(place, halves, 10_000).alias("q"))
+        half = F.get("q", F.least(F.ceil(F.log2(F.col("n") / block)).cast("int"), F.lit(len(halves))) - 1)
+        n = written(n.select("group", "n", F.when(F.col("n") <= block, last).otherwise(half).alias("cut")), "near-sizes")
+        large = n.where("n > %d" % block)
+        none = large.isEmpty()
+        met = open_.join(n, "group")
+        first = met.where(place <= F.col("cut")).select("group", "doc_id", "sha", F.lit(False).alias("head"), "text")
+        verdict = written(judged(first, [], k, similarity), "near-verdict")
+        drop.append(verdict.where("not stays").select("doc_id", "sha"))
+        if none:
+            break
+        rest = met.where((F.col("n") > block) & (place > F.col("cut")))
+        times = F.ceil(F.col("n") / block).cast("int")
+        some = verdict.where("stays").join(large.select("group", "n"), "group")
+        heads = open_.join(some, (open_["group"] == some["group"]) & key(open_, some)).select(some["group"], some["doc_id"], some["sha"], F.lit(True).alias("head"), "text", F.explode(F.sequence(F.lit(0), times - 1)).alias("salt"))
+        dealt = rest.select("group", "doc_id", "sha", F.lit(False).alias("head"), "text", F.pmod(F.xxhash64("sha"), times).cast("int").alias("salt"))
+        after = written(judged(dealt.union(heads), ["salt"], k, similarity).where("not head"), "near-verdict")
+        drop.append(after.where("not stays").select("doc_id", "sha"))
+        left = after.where("stays").select("doc_id", "sha").distinct()
+        open_ = written(open_.join(left, key(open_, left), "left_semi"), "near-texts")
+        block *= 2
+    found = drop[0]
+    for more in drop[1:]:
+        found = found.union(more)
+    return found.distinct().select(F.col("doc_id").alias("_copy"), F.col("sha").alias("_sha"))
 
 
 def node_of(sha: str):

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from clauseloom.llm import bpe, mixing, near_dedup, quality, secrets
 from clauseloom.llm.common import whole_text, words, written
 
-#: Near copies: five-word shingles with a Jaccard similarity of at least 0.8, found by two-word fingerprints.
-SHINGLE, SIMILARITY, PROBE_SHINGLE, PROBE_RADIUS = 5, 0.8, 2, 7
+#: Near copies: five-word shingles with a Jaccard similarity of at least 0.8; candidates by two-word fingerprints and bands.
+SHINGLE, SIMILARITY, PROBE_SHINGLE, PROBE_RADIUS = 5, 0.8, 2, 4
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null or empty text fails them; repeated rows fare alike; null ids and columns
+    are carried along; an empty table gives an empty one."""
     judged = quality.quality_rules(docs, keep=tuple(docs.columns))
     return judged.where("kept").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id. Of rows with equal id and text one stays."""
+    """One document of each group of near copies: the one of the smallest id, null last. Of rows with equal id and text one
+    stays. A null text counts as empty, and all empty texts as copies; an empty table gives an empty one."""
     sha = F.sha2(whole_text("text"), 256)
     drop = near_dedup.near_copies(docs, SHINGLE, SIMILARITY, PROBE_SHINGLE, PROBE_RADIUS)
     kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_copy"]) & (sha == drop["_sha"]), "left_anti")
@@ -35,7 +37,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with each reported secret in its text replaced by a mark, and n_chars to match."""
+    """Every document, with each reported secret in its text replaced by a mark, and n_chars to match. A null text stays null;
+    ids may be null or repeat, as spans are kept by id and text; an empty table gives an empty one."""
     sha = F.sha2(whole_text("text"), 256)
     spans = secrets.secret_spans(docs.withColumn("_sha", sha), keep=("_sha",)).where(F.size("spans") > 0)
     spans = written(spans.dropDuplicates(["doc_id", "_sha"]).select(F.col("doc_id").alias("_id"), "_sha", "spans"), "secret-spans")
@@ -49,7 +52,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each whole copy, and the first words of the document on which a source's target falls.
 
-    Rows of equal id and text are each taken as far as the one that is taken furthest.
+    Rows of equal id and text are each taken as far as the one that is taken furthest (near-dedup leaves none). A text without
+    words isn't taken; null sources are one source; an empty table gives an empty one.
     """
     key = F.struct("doc_id", F.sha2(whole_text("text"), 256).alias("sha"))
     sizes = written(mixing.word_sizes(docs.withColumn("_key", key), "_key"), "mix-sizes")
@@ -65,7 +69,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the text decoded from them, beside the id and the source."""
+    """Token ids and the text decoded from them, beside the id and the source. A null or empty text has no tokens; every row
+    gives one; an empty table gives an empty one."""
     return bpe.encode_decode(docs, bpe.public_path(), keep=("doc_id", "lang", "source"))
 
 
