@@ -40,6 +40,8 @@ ROUNDS = 4
 BANDS, BAND_ROWS = 24, 4
 #: Texts at a time of which one task of near_copies() emits bands, and members of a group that one task judges at first.
 BAND_CHUNK, BLOCK = 20_000, 512
+#: Tasks over which the copies of one text are dealt where they meet its first id.
+SALTS = 64
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
@@ -512,8 +514,10 @@ def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius:
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.sha2(whole_text(text), 256).alias("sha"))
     ids = written(rows.select("doc_id", "sha"), "near-ids")
-    firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    same = ids.join(firsts, "sha").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "sha")
+    # null ids are last
+    some_null = F.bool_or(F.col("doc_id").isNull())
+    firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("first"), F.when(~some_null, F.max("doc_id")).alias("last"))
+    same = other_copies(ids, firsts)
     # a node is a text: texts whose nodes are equal by chance are candidates only
     nodes = rows.select(node_of("sha").alias("node"), "text")
     found = written(fingerprints(nodes, "node", k=probe_k).distinct(), "probe-fp")
@@ -555,6 +559,15 @@ def near_copies(df: DataFrame, k: int, similarity: float, probe_k: int, radius:
     return found.distinct().select(F.col("doc_id").alias("_copy"), F.col("sha").alias("_sha"))
 
 
+def other_copies(ids: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(doc_id, sha) of rows whose text's first id is another: a text of many copies is dealt over SALTS tasks, where a
+    text with one id has no row to meet."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    many = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = ids.withColumn("salt", salt).join(many, ["sha", "salt"])
+    return met.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "sha")
+
+
 def node_of(sha: str):
     return F.xxhash64(sha)
 
