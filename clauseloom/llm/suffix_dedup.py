@@ -48,8 +48,10 @@ class Unit(NamedTuple):
 
 
 #: Passages of over 50 words.
-WORDS = Unit(51, 12, 12)
+WORDS = Unit(51, 8, 12)
 _POSITION = (1 << 24) - 1
+#: Of a packed place: the unit's bit and the window starts of a bundle, below the first start.
+_COUNT_BITS = 16
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -204,21 +206,21 @@ def _batches(batches, most: int = 4 << 20):
 
 
 def emit_grams(units: list[Unit]):
-    """From (k1, k2, text): (gram, k1, k2, n) for each anchor gram of each text."""
+    """From (k1, text): (gram, k1, n) for each anchor gram of each text."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in _batches(batches):
-            k = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            k1 = b.column(0).to_numpy(zero_copy_only=False)
             for unit, (depth, gram, _) in enumerate(units):
-                for raw, starts, owner, _ in segments(_tokens(b.column(2), unit), depth):
+                for raw, starts, owner, _ in segments(_tokens(b.column(1), unit), depth):
                     first, _, _, g = anchors(raw, starts, depth, gram)
                     own = owner[np.searchsorted(starts, first)]
                     found, n = np.unique(np.stack([own.astype(np.uint64), g]), axis=1, return_counts=True)
                     own = found[0].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[1].view(np.int64)), pa.array(k[0][own]), pa.array(k[1][own]), pa.array(n.astype(np.int64))], ["gram", "k1", "k2", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[1].view(np.int64)), pa.array(k1[own]), pa.array(n.astype(np.int64))], ["gram", "k1", "n"])
 
     return run
 
@@ -255,8 +257,9 @@ def emit_bundles(units: list[Unit]):
                     whole = digests(raw, start, start + depth + count - 1) + (kind * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[:, None]
                     at = np.searchsorted(starts, start)
                     own = owner[at]
-                    columns = [common.view(np.int64), whole[:, 0], whole[:, 1], k[0][own], k[1][own], np.full(len(own), unit), start + offset[at], count, k[2][own]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "s1", "s2", "k1", "k2", "unit", "start", "count", "n"])
+                    place_ = ((start + offset[at]) << _COUNT_BITS) | (count << 1) | unit
+                    columns = [common.view(np.int64), whole[:, 0], whole[:, 1], k[0][own], k[1][own], place_, k[2][own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "s1", "s2", "k1", "k2", "place", "n"])
 
     return run
 
@@ -336,31 +339,34 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = written(rows.groupBy(*k).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")), "passages-texts")
 
     # pass 1
-    grams = written(texts.select(*k, "raw").mapInArrow(emit_grams(units), "gram long, k1 long, k2 long, n long"), "passages-grams")
+    # 64 bits name a text here: two texts of one name would only look at each other's grams as well
+    grams = written(texts.select("k1", "raw").mapInArrow(emit_grams(units), "gram long, k1 long, n long"), "passages-grams")
     shared = grams.groupBy("gram").agg(F.sum("n").alias("t")).where("t > 1").select("gram")
-    named = grams.join(shared, "gram", "left_semi").groupBy(*k).agg(F.collect_set("gram").alias("grams"))
-    named = named.join(copies, k).withColumnRenamed("first", "doc_id")
+    named = grams.join(shared, "gram", "left_semi").groupBy("k1").agg(F.collect_set("gram").alias("grams"))
+    named = named.join(copies, "k1").withColumnRenamed("first", "doc_id")
     cases = texts.join(named, [*(texts[c] == named[c] for c in k), texts["doc_id"].eqNullSafe(named["doc_id"])])
     cases = written(cases.select(named["k1"], named["k2"], F.col("copies").alias("n"), "grams", "raw"), "passages-cases")
 
     # pass 2
-    bundles = written(cases.mapInArrow(emit_bundles(units), "core long, s1 long, s2 long, k1 long, k2 long, unit long, start long, count long, n long"), "passages-bundles")
-    place = F.struct("k1", "k2", "unit", "start", "count")
+    bundles = written(cases.mapInArrow(emit_bundles(units), "core long, s1 long, s2 long, k1 long, k2 long, place long, n long"), "passages-bundles")
+    place = F.struct("k1", "k2", "place")
+    spread = lambda c: F.struct(c.bitwiseAND(1).alias("unit"), F.shiftright(c, _COUNT_BITS).alias("start"), F.shiftright(c.bitwiseAND((1 << _COUNT_BITS) - 1), 1).alias("count"))
     classes = written(bundles.groupBy("core", "s1", "s2").agg(F.sum("n").alias("n"), F.min(place).alias("p")), "passages-classes")
     mixed = classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
-    whole = classes.where("n > 1").select("core", "s1", "s2")
-    repeated = bundles.join(whole, ["core", "s1", "s2"], "left_semi").select(*k, "unit", "start", "count")
+    whole = classes.where("n > 1").select("s1", "s2")
+    repeated = bundles.select("s1", "s2", *k, "place").join(whole, ["s1", "s2"], "left_semi").select(*k, "place")
 
     # pass 3
     open_ = classes.join(mixed, "core", "left_semi").select("p.*", "n")
+    open_ = open_.select(*k, "n", spread(F.col("place")).alias("_s")).select(*k, "_s.*", "n")
     open_ = open_.groupBy(*k).agg(F.collect_list(F.struct("unit", "start", "count", "n")).alias("bundles"))
     windows = written(open_.join(cases.select(*k, "raw"), k).select(*k, "bundles", "raw").mapInArrow(emit_windows(units), "w1 long, w2 long, k1 long, k2 long, unit long, start long, n long"), "passages-windows")
     again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select("w1", "w2")
-    single = windows.where("n = 1").join(again, ["w1", "w2"], "left_semi").select(*k, "unit", "start", F.lit(1).cast("long").alias("count"))
+    single = windows.where("n = 1").join(again, ["w1", "w2"], "left_semi").select(*k, (F.shiftleft("start", _COUNT_BITS) + F.lit(2) + F.col("unit")).alias("place"))
 
     # texts that stand once lose their repeated windows; those that stand twice or more lose everything
     spans = repeated.union(single).join(copies.where("copies = 1").select(*k), k, "left_semi")
-    spans = spans.groupBy(*k).agg(F.collect_list(F.struct("unit", "start", "count")).alias("spans"))
+    spans = spans.groupBy(*k).agg(F.collect_list("place").alias("spans")).withColumn("spans", F.transform("spans", spread))
     kinds = "array<struct<start:long,end:long>>"
     left = spans.join(cases.select(*k, "raw"), k).select(*k, "spans", "raw").mapInArrow(cut_out(depth, words.depth), f"k1 long, k2 long, n_removed long, n_spans long, n_repeat_words long, kept_sha256 string, spans {kinds}")
     none = F.lit(None)
