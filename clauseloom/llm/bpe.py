@@ -22,6 +22,7 @@ empty result. Columns in ``keep`` are carried along; other columns, whatever the
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 
@@ -34,7 +35,7 @@ from clauseloom.llm.common import documents
 LEAF = 1024
 AGREE = 2
 #: Bytes of text at a time, and pieces that a worker remembers at most, besides those of one chunk.
-CHUNK, TABLE = 4 << 20, 600_000
+CHUNK, TABLE = 1 << 20, 150_000
 #: Words that go to the merges as one text.
 JOINED = 256
 #: Pieces are apart here: a subset of what the tokenizer takes for white space.
@@ -117,14 +118,15 @@ class TreeBPE:
         plain = {"vocab": model["vocab"], "merges": merges}
         self.suffix = model.get("end_of_word_suffix") or ""
         #: Of a part's last piece, and of the others, whose last character doesn't end the word.
-        self.ending = Tokenizer(models.BPE(**plain, **({"end_of_word_suffix": self.suffix} if self.suffix else {})))
+        ending = models.BPE(**plain, **({"end_of_word_suffix": self.suffix} if self.suffix else {}))
+        self.ending = Tokenizer(ending)
         self.inner = Tokenizer(models.BPE(**plain))
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.parts = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.token = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size())]
         self.ends = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.token])
-        #: For words of ASCII letters: normalised, parted by blanks, merged.
-        self.words = Tokenizer(models.BPE(**plain, **({"end_of_word_suffix": self.suffix} if self.suffix else {})))
+        #: For words of ASCII letters: normalised, parted by blanks, merged. It shares its model's memory.
+        self.words = Tokenizer(ending)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.spaced = spec.get("decoder") is None
         self.leaf, self.agree, self.most = leaf, agree, table
@@ -244,11 +246,11 @@ class TreeBPE:
         return found
 
     def forget(self) -> None:
-        """Leaves in the table the short pieces that were met in two chunks or more, if they are no more than half of it."""
+        """Leaves in the table the short pieces that were met in two chunks or more, those longest in it, up to half of it."""
         import numpy as np
 
         keep = [(p, r) for p, r in self.table.items() if self.again[r] and len(p) <= 64]
-        keep = keep if len(keep) <= self.most // 2 else []
+        keep = keep[: self.most // 2]
         rows = np.array([r for _, r in keep], dtype=np.int64)
         self.ids, self.start = self.gathered(rows)
         self.table = {p: i for i, (p, _) in enumerate(keep)}
@@ -432,9 +434,11 @@ class TreeBPE:
 
 
 def _encoder(path: str, leaf: int):
-    """One for each worker process, kept between tasks."""
+    """One for each worker process, kept between tasks. A task has one core, and each thread of the library's own would hold
+    tables of its own, so it gets none, unless the environment says otherwise."""
     import tokenizers
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     kept = tokenizers.__dict__.setdefault("_clauseloom_kept", {})
     if (path, leaf) not in kept:
         kept[path, leaf] = TreeBPE(path, leaf)
