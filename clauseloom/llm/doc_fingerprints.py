@@ -120,13 +120,22 @@ def likeness(a: str, b: str) -> Column:
     return 1 - distance(F.col(a), F.col(b)) / F.lit(64.0)
 
 
+def near_counts(found: DataFrame, radius: int = RADIUS, every: int = SEARCH_EVERY) -> DataFrame:
+    """found and n_near: rows whose fp is within the radius, itself included, for each row whose id is divisible by ``every``.
+
+    Only those rows are joined, and to counts that are written before, so that rows of one fingerprint may be dealt over tasks.
+    """
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    sizes = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    hits = near_search(found.where(asked), found, radius).join(sizes.hint("merge"), "fp").groupBy("query").agg(F.sum("n").alias("n_near"))
+    hits = written(hits, "near-counts")
+    counted = found.where(asked).join(hits.hint("merge"), found["fp"] == hits["query"], "left").select(*found.columns, "n_near")
+    return counted.union(found.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
+
+
 def op7_doc_fingerprints(spark, sf_dir: str) -> DataFrame:
     found = written(edited_fingerprints(documents(spark, sf_dir)), "fingerprints")
-    # documents near each one whose id is divisible by SEARCH_EVERY, itself included
-    sizes = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    hits = near_search(found.where(F.col("doc_id") % SEARCH_EVERY == 0), found).join(sizes.hint("merge"), "fp").groupBy("query").agg(F.sum("n").alias("n_near"))
-    asked = F.when(F.col("doc_id") % SEARCH_EVERY == 0, F.col("n_near"))
-    return found.join(hits.hint("merge"), found["fp"] == hits["query"], "left").select(
+    return near_counts(found).select(
         "doc_id", "n_chars", "edited_sha256", as_hex("fp").alias("fingerprint"), as_hex("edited_fp").alias("edited_fingerprint"),
-        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), asked.alias("n_near"),
+        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "n_near",
     )
