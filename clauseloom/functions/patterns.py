@@ -65,6 +65,11 @@ MOJIBAKE_FIXES = [
 
 STOPWORDS = ["a", "an", "and", "or", "of", "to", "the", "for", "in", "on", "by", "with", "at", "from", "as", "vs", "per", "is", "&"]
 ABBREVIATIONS = ["e.g.", "i.e.", "etc.", "inc.", "ltd.", "pvt.", "co.", "mr.", "mrs.", "dr.", "u.s.", "vs.", "cf."]
+# White space of ASCII alone, as in RE2's flavour; (?i) of ASCII but for the long s.
+_BLANK = r"[\t\n\f\r ]"
+ASCII_HEADING = rf"(?d)^#{{1,6}}{_BLANK}+(.+?){_BLANK}*#*{_BLANK}*\z"
+ABBREVIATION_GAP = "(?i)((?:" + "|".join(a[:-1].replace(".", r"\.").replace("s", "[s\u017f]") for a in ABBREVIATIONS) + rf")\.){_BLANK}+"
+ASCII_SENTENCE_GAP = rf"([.!?]){_BLANK}+([\"\x{{201c}}'(\[]?[A-Z0-9])"
 OPENING_QUOTES = "(\"'“‘"
 TERMS_KEYWORDS = ["terms of service", "terms of use", "conditions of use", "eula", "license", "licence", "agreement"]
 PRIVACY_KEYWORDS = ["privacy"]
