@@ -52,7 +52,8 @@ SELECT lang, count(*) AS clauses, min(n)::BIGINT AS shortest, floor(median(n))::
 def sentence_split(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     per_line = lines.select("doc_id", T.sentences(F.col("line")).alias("s"))
-    return per_line.groupBy("doc_id").agg(F.sum(F.size("s")).cast("long").alias("sentences"), F.sum(F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x))).cast("long").alias("chars"))
+    chars = F.when(F.size("s") > 0, F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x)))  # null for a document without sentences
+    return per_line.groupBy("doc_id").agg(F.sum(F.size("s")).cast("long").alias("sentences"), F.sum(chars).cast("long").alias("chars"))
 
 
 SENTENCES = f"""SELECT doc_id, sum(len(s)) AS sentences, sum(list_sum(list_transform(s, lambda x: len(x)))) AS chars FROM
