@@ -31,8 +31,10 @@ SLUG_DROP = r"[^\w\s-]"
 ITEM_LABEL = r"^(?:[a-z]\. |[ivxlcdm]+\. |\([a-z]\) |\([ivxlcdm]+\) |\d+\. )"
 BARE_LABEL_HEADING = r"^[a-z]\.\s*(\(part \d+/\d+\))?$"
 STALE_LABEL_HEADING = r"^[a-z]\. > "
-MOJIBAKE = "â€™|Ã©|Ã\\\\xa9|\\\\ufffd|�"
-HTML_DEBRIS = r"<[a-zA-Z][^>]*>|&amp;|&lt;|&gt;|&nbsp;"
+MOJIBAKE = ["â€™", "Ã©", r"Ã\xa9", r"\ufffd", "�"]
+ODD_CHARS = r"[\n:+<&\\âÃ]"
+HTML_TAG, HTML_ENTITIES = r"<[a-zA-Z][^>]*>", ["&amp;", "&lt;", "&gt;", "&nbsp;"]
+HTML_DEBRIS = "|".join([HTML_TAG, *HTML_ENTITIES])
 HEADING_DEBRIS = r"\*\*|\*[^*]|^\*$|-{4,}|={4,}"
 PART_LABEL = r"\(part (\d+)/(\d+)\)"
 JUNK_NAV = r"\b[A-Z][a-z]+(?: \+ [A-Z][a-z]+){2,}"

@@ -20,19 +20,24 @@ def is_junk(text: Column) -> Column:
         glued = (F.size(lines) <= 3) & F.forall(lines, lambda x: x.rlike(P.GLUED_WORD))
         return (F.size(lines) > 0) & (nav | footer | glued)
 
-    return T.bind(F.filter(F.transform(F.split(text, "\n"), lambda x: T.strip(x)), lambda x: x != ""), judged)
+    # what any such text holds: the others aren't cut into lines
+    may = T.holds(text, " + ", *P.FOOTER_WORDS) | text.rlike("(?<=[a-z]{2})[A-Z][a-z]{2}")
+    return F.when(may, T.bind(F.filter(F.transform(F.split(text, "\n"), lambda x: T.strip(x)), lambda x: x != ""), judged)).otherwise(may)
 
 
 def without_debris(h: Column) -> Column:
+    bare = h
     for pattern, by in ((r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"^[-=]{4,}\s*", ""), (r"\s*[-=]{4,}$", "")):
-        h = F.regexp_replace(h, pattern, by)
-    return T.strip(h)
+        bare = F.regexp_replace(bare, pattern, by)
+    return T.strip(F.when(h.rlike(r"\*|[-=]{4}"), bare).otherwise(h))
 
 
 def without_mojibake(c: Column) -> Column:
+    """Every replacement in turn, only where one of them, or of blanks, has something to begin at."""
+    mended = c
     for bad, good in P.MOJIBAKE_FIXES:
-        c = F.replace(c, F.lit(bad), F.lit(good))
-    return F.regexp_replace(c, "  +", " ")
+        mended = F.replace(mended, F.lit(bad), F.lit(good))
+    return F.when(c.rlike("[âÃ&<]") | T.holds(c, "�", "  "), F.regexp_replace(mended, "  +", " ")).otherwise(c)
 
 
 def named_label(h: Column, text: Column) -> Column:
@@ -95,12 +100,15 @@ def item_pieces(heading: Column, text: Column) -> Column:
         good = lambda p: (F.size(p) > 1) & F.forall(p, lambda x: F.length(x["text"]) >= SEGMENT_MIN)
         return T.bind(starts, lambda s: F.when(F.size(s) == 0, whole).otherwise(T.bind(pieces(s), lambda p: F.when(good(p), p).otherwise(whole))))
 
-    return T.bind(F.split(text, "\n"), cut)
+    whole = F.array(F.struct(F.lit(0).alias("seg"), heading.alias("heading"), text.alias("text")))
+    may = F.contains(text, F.lit("\n")) & text.rlike(r"\. [A-Z]")
+    return F.when(may, T.bind(F.split(text, "\n"), cut)).otherwise(whole)
 
 
 def split_items(clauses: DataFrame) -> DataFrame:
     """(doc_id, id, seg, heading, text): ``seg`` orders the pieces of a clause from 0."""
-    return clauses.select("doc_id", "id", F.inline(item_pieces(F.col("heading"), F.col("text"))))
+    made = clauses.select("doc_id", "id", item_pieces(F.col("heading"), F.col("text")).alias("_p"))
+    return made.select("doc_id", "id", F.inline_outer("_p"))  # outer: never empty, and inline() would cut twice
 
 
 def _is_two_to_n(own) -> Column:
@@ -120,7 +128,8 @@ def renumber_parts(clauses: DataFrame, order: list[str], among: Column | None =
     rank = F.row_number().over(own.orderBy("_k", *order))
     fix = has & (F.min("_n").over(own) == F.max("_n").over(own)) & (_is_two_to_n(own) | (~F.bool_or(F.col("_k") == 1).over(own) & (F.count(F.lit(1)).over(own) < F.col("_n"))))
     label = F.concat(F.lit("(part "), F.col("_r").cast("string"), F.lit("/"), F.col("_c").cast("string"), F.lit(")"))
-    ranked = marked.withColumn("_fix", fix).withColumn("_r", rank).withColumn("_c", F.count(F.lit(1)).over(own))
+    # the ordered window first: its sort serves the others
+    ranked = marked.withColumn("_r", rank).withColumn("_fix", fix).withColumn("_c", F.count(F.lit(1)).over(own))
     pieces = F.split(h, r"\(part \d+/\d+\)")
     return ranked.withColumn("heading", F.when(F.col("_fix"), F.array_join(pieces, "\x01")).otherwise(h)).withColumn("heading", F.when(F.col("_fix"), F.replace("heading", F.lit("\x01"), label)).otherwise(F.col("heading"))).drop("_b", "_k", "_n", "_fix", "_r", "_c")
 
@@ -129,60 +138,62 @@ def renumber_parts(clauses: DataFrame, order: list[str], among: Column | None =
 EARLY, LATE = (("7", "Debris removed from heading"), ("10", "Encoding or markup mended in heading")), (("2", "Label named"), ("3", "Heading shortened"), ("3", "Full stop removed"), ("4", "Generic heading replaced"))
 
 
-def stages(value: Column, steps: list) -> Column:
-    """array: the value and what each step in turn makes of it; each step's input is computed once."""
-
-    def grow(had: list[Column], rest: list) -> Column:
-        return T.bind(rest[0](had[-1]), lambda x: grow([*had, x], rest[1:])) if rest else F.array(*had)
-
-    return T.bind(value, lambda x: grow([x], steps))
-
-
-def repaired(clauses: DataFrame, junk: Column) -> DataFrame:
-    """(doc_id, old_id, id, heading, text, junk, seg and what each step did): a row for each piece; ``junk`` tells which
-    clauses pass through as they are."""
-    h, t = F.col("heading"), F.col("text")
-    early = clauses.select("doc_id", F.col("id").alias("old_id"), junk.alias("junk"), h.alias("old_heading"), t.alias("old_text"), stages(h, [without_debris, without_mojibake]).alias("early"), without_mojibake(t).alias("text"))
-    cut = F.when(F.col("junk"), F.array(F.struct(F.lit(0).alias("seg"), F.get("early", 2).alias("heading"), F.col("text")))).otherwise(item_pieces(F.get("early", 2), F.col("text")))
-    pieces = early.withColumn("_p", cut).drop("text").select("*", F.size("_p").alias("pieces"), F.inline("_p")).drop("_p")
-    steps = [lambda x: named_label(x, t), capped, without_period, lambda x: named_item(x, t)]
-    named = pieces.withColumn("late", stages(F.col("heading"), steps)).withColumn("heading", F.element_at("late", -1))
-    # one exchange serves both windows; junk takes no part in them
-    rows = named.repartition("doc_id")
-    numbered = renumber_parts(rows.withColumn("_named", F.col("heading")), ["old_id", "seg"], ~F.col("junk"))
-    own = Window.partitionBy("doc_id", "junk").orderBy("old_id", "seg")
-    return numbered.withColumn("id", F.when(~F.col("junk"), F.row_number().over(own).cast("long")))
+def named(clauses: DataFrame, junk_too: bool) -> DataFrame:
+    """(doc_id, old_id, junk, old_heading, old_text, h1, h2, mended, seg, text, n0..n4): a row for each piece, headings as each
+    repair within a clause leaves them; ``junk`` tells which clauses pass through as they are, if they aren't left out. No
+    shuffle. Junk goes after the cut: a filter before it would be moved below the steps that make the text, and repeat them."""
+    h, t = F.col("old_heading"), F.col("text")
+    rows = clauses.select("doc_id", F.col("id").alias("old_id"), F.col("heading").alias("old_heading"), F.col("text").alias("old_text"), is_junk(F.col("text")).alias("junk"))
+    early = rows.withColumn("h1", without_debris(h)).withColumn("h2", without_mojibake(F.col("h1"))).withColumn("mended", without_mojibake(F.col("old_text")))
+    whole = F.array(F.struct(F.lit(0).alias("seg"), F.col("h2").alias("heading"), F.col("mended").alias("text")))
+    cut = early.withColumn("_p", F.when(F.col("junk"), whole if junk_too else F.lit(None)).otherwise(item_pieces(F.col("h2"), F.col("mended"))))
+    # outer: inline() would cut twice
+    pieces = cut.select(*early.columns, F.inline_outer("_p")).where("seg is not null").withColumnRenamed("heading", "n0")
+    for i, step in enumerate((lambda x: named_label(x, t), capped, without_period, lambda x: named_item(x, t))):
+        pieces = pieces.withColumn(f"n{i + 1}", step(F.col(f"n{i}")))
+    return pieces
 
 
 def repair(clauses: DataFrame) -> DataFrame:
     """(doc_id, old_id, id, heading, text): junk out; headings and texts mended; items split; headings named and capped;
     parts and ids numbered anew."""
-    return repaired(clauses.where(~is_junk(F.col("text"))), F.lit(False)).select("doc_id", "old_id", "id", "heading", "text")
+    pieces = named(clauses, False).select("doc_id", "old_id", "seg", F.col("n4").alias("heading"), "text")
+    # one exchange serves all windows
+    own = Window.partitionBy("doc_id").orderBy("old_id", "seg")
+    rows = pieces.repartition("doc_id").withColumn("id", F.row_number().over(own).cast("long"))
+    return renumber_parts(rows, ["old_id", "seg"]).select("doc_id", "old_id", "id", "heading", "text")
 
 
 def repair_log(clauses: DataFrame) -> DataFrame:
-    """(doc_id, bug, old_id, new_id, old_heading, new_heading, detail): a row for each change that a repair makes, in the
-    order of the repairs; new ids are those before the last numbering, '(new)' for a piece cut off, null if deleted."""
+    """(doc_id, bug, old_id, new_id, old_heading, new_heading, detail): a row for each change that a repair makes; new ids
+    are those before the last numbering, '(new)' for a piece cut off, null if deleted. Only headings with a part's label are
+    shuffled, for their numbering anew."""
     same, cut = F.col("old_id").cast("string"), lambda c, n: F.left(c, F.lit(n))
     row = lambda bug, new, was, now, detail: F.struct(F.lit(bug).alias("bug"), new.alias("new_id"), was.alias("old_heading"), now.alias("new_heading"), detail.alias("detail"))
     none = F.lit(None).cast("string")
     first, kept = F.col("seg") == 0, ~F.col("junk")
+    rows = named(clauses, True)
 
-    def steps(array: str, which: tuple) -> list[Column]:
-        at = lambda i: F.get(F.col(array), i)
-        guard = (first & kept) if array == "early" else kept
-        return [F.when(guard & (at(i) != at(i + 1)), row(bug, same, at(i), at(i + 1), F.lit(detail))) for i, (bug, detail) in enumerate(which)]
+    def steps(names: list[str], guard: Column, which: tuple) -> list[Column]:
+        c = [F.col(x) for x in names]
+        return [F.when(guard & (a != b), row(bug, same, a, b, F.lit(detail))) for a, b, (bug, detail) in zip(c, c[1:], which, strict=False)]
 
-    mended = without_mojibake(F.col("old_text"))
+    mended, text = F.col("mended"), F.col("old_text")
     found = [
-        F.when(F.col("junk"), row("9", none, F.col("old_heading"), none, F.concat(F.lit("Deleted: "), cut(F.col("old_text"), 120)))),
-        *steps("early", EARLY),
-        F.when(first & kept & (mended != F.col("old_text")), row("10", same, cut(F.col("old_text"), 50), cut(mended, 50), F.lit("Encoding or markup mended in text"))),
-        F.when(kept & (F.col("seg") > 0), row("1", F.lit("(new)"), F.get("early", 2), F.get("late", 0), F.lit("Item cut off"))),
-        *steps("late", LATE),
-        F.when(kept & (F.col("_named") != F.col("heading")), row("8", same, F.col("_named"), F.col("heading"), F.lit("Part numbered anew"))),
+        F.when(F.col("junk"), row("9", none, F.col("old_heading"), none, F.concat(F.lit("Deleted: "), cut(text, 120)))),
+        *steps(["old_heading", "h1", "h2"], first & kept, EARLY),
+        F.when(first & kept & (mended != text), row("10", same, cut(text, 50), cut(mended, 50), F.lit("Encoding or markup mended in text"))),
+        F.when(kept & (F.col("seg") > 0), row("1", F.lit("(new)"), F.col("h2"), F.col("n0"), F.lit("Item cut off"))),
+        *steps([f"n{i}" for i in range(5)], kept, LATE),
     ]
-    return repaired(clauses, is_junk(F.col("text"))).select("doc_id", "old_id", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull()))).select("doc_id", "bug", F.col("old_id").cast("string").alias("old_id"), "new_id", "old_heading", "new_heading", "detail")
+    told = ["bug", "new_id", "old_heading", "new_heading", "detail"]
+    local = rows.select("doc_id", "old_id", F.array(*found).alias("_v")).select("doc_id", "old_id", F.explode_outer("_v").alias("v")).where("v is not null").select("doc_id", "old_id", *(f"v.{c}" for c in told))
+    # through an array of one: a filter on the heading itself would be moved below the steps, each of them written out in it
+    part = F.when(kept & F.col("n4").rlike(P.PART_LABEL), F.struct("seg", F.col("n4").alias("heading"), F.col("n4").alias("_was")))
+    parts = rows.select("doc_id", "old_id", F.array(part).alias("_v")).select("doc_id", "old_id", F.explode_outer("_v").alias("v")).where("v is not null").select("doc_id", "old_id", "v.*")
+    anew = renumber_parts(parts, ["old_id", "seg"]).where(F.col("_was") != F.col("heading"))
+    anew = anew.select("doc_id", "old_id", row("8", same, F.col("_was"), F.col("heading"), F.lit("Part numbered anew")).alias("v")).select("doc_id", "old_id", *(f"v.{c}" for c in told))
+    return local.union(anew).select("doc_id", "bug", same.alias("old_id"), *told[1:])
 
 
 def change_log(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -193,3 +204,21 @@ def change_log(old: DataFrame, new: DataFrame, keys: list[str], columns: list[st
     pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_old_{c}").alias("old"), F.col(f"_new_{c}").alias("new")) for c in columns))
     changed = F.filter(pairs, lambda p: ~p["old"].eqNullSafe(p["new"]))
     return both.select(*keys, F.explode(changed).alias("c")).select(*keys, "c.*")
+
+
+def mended_log(rows: DataFrame, keys: list[str], now: dict[str, Column], kept: Column) -> DataFrame:
+    """``change_log`` of rows against themselves with the columns of ``now`` mended, those that aren't ``kept`` missing: within
+    the row, no join. A row without a key equals none, so both of its states are reported."""
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    stays = F.coalesce(kept, F.lit(False))
+    both = rows.select(*keys, *(F.col(c).alias(f"_old_{c}") for c in now), *(x.alias(f"_new_{c}") for c, x in now.items()), stays.alias("_kept"), keyed.alias("_keyed"))
+    made = []
+    for c in now:
+        old, new = F.col(f"_old_{c}"), F.col(f"_new_{c}")
+        row = lambda a, b, c=c: F.struct(F.lit(c).alias("column"), a.alias("old"), b.alias("new"))
+        none = F.lit(None).cast("string")
+        made.append(F.when(F.col("_keyed") & F.col("_kept"), F.when(~old.eqNullSafe(new), row(old, new))).when(old.isNotNull(), row(old, none)))
+        made.append(F.when(~F.col("_keyed") & F.col("_kept") & new.isNotNull(), row(none, new)))
+    return both.select(*keys, F.array(*made).alias("_v")).select(*keys, F.explode_outer("_v").alias("c")).where("c is not null").select(*keys, "c.*")

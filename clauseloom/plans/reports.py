@@ -54,9 +54,9 @@ def category_labels(spark, sf_dir):
 CATEGORY_LABELS = f"{ENRICHED} SELECT doc_id, id, category, CASE category WHEN 'Liability' THEN 'Responsabilité' WHEN 'Cancellation' THEN 'Résiliation' ELSE category END AS label FROM en"
 
 
-def mended(spark, sf_dir):
-    h, t = F.col("heading"), F.col("text")
-    return made_clauses(spark, sf_dir).select("doc_id", "id", repair.without_mojibake(h).alias("heading"), repair.without_mojibake(t).alias("text"))
+def compared(spark, sf_dir):
+    """Violations before and after the repair of encoding debris."""
+    return rules.compared(made_clauses(spark, sf_dir), repair.without_mojibake(F.col("heading")), repair.without_mojibake(F.col("text")))
 
 
 _AFTER = VIOLATIONS.replace("FROM cl)", f"FROM (SELECT doc_id, id, {_moji('heading')} AS heading, {_moji('text')} AS text FROM cl))")
@@ -65,8 +65,7 @@ BOTH = f"before AS ({VIOLATIONS}), after AS ({_AFTER})"
 
 def violation_diff(spark, sf_dir):
     """What the repair of encoding debris does to violations, one by one."""
-    key = ["doc_id", "id", "bug", "rule"]
-    return R.changes(rules.violations(made_clauses(spark, sf_dir)), rules.violations(mended(spark, sf_dir)), key).where("state <> 'remains'")
+    return compared(spark, sf_dir).where("state <> 'remains'")
 
 
 DIFF = f"""WITH {BOTH}, j AS (SELECT doc_id, id, bug, rule, a.message AS x, b.message AS y FROM before a FULL JOIN after b USING (doc_id, id, bug, rule))
@@ -75,8 +74,7 @@ SELECT doc_id, id, bug, rule, CASE WHEN y IS NULL THEN 'fixed' ELSE 'appeared' E
 
 def triage_table(spark, sf_dir):
     """Violations before, fixed and left for review by document, with a total row."""
-    key = ["doc_id", "id", "bug", "rule"]
-    return R.triage(R.changes(rules.violations(made_clauses(spark, sf_dir)), rules.violations(mended(spark, sf_dir)), key), "doc_id")
+    return R.triage(compared(spark, sf_dir), "doc_id")
 
 
 TRIAGE = f"""WITH {BOTH}, j AS (SELECT doc_id, a.message AS x, b.message AS y FROM before a FULL JOIN after b USING (doc_id, id, bug, rule))

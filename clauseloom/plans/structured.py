@@ -17,7 +17,8 @@ _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def structured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    u = docs.select("doc_id", F.posexplode(F.split("text", "[.\n] *")).alias("pos", "u"))
+    # outer: the array is never empty, and posexplode() would cut the text once more to see that
+    u = docs.select("doc_id", F.posexplode_outer(F.split("text", "[.\n] *")).alias("pos", "u"))
     c, pos = F.col("u"), F.col("pos")
     kinds = [
         F.concat(F.lit("## "), c), F.concat(F.lit("- "), c), F.concat(F.lit("- "), c), F.concat(pos.cast("string"), F.lit(". "), c),
