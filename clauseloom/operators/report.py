@@ -64,7 +64,8 @@ def changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
 def triage(changed: DataFrame, by: str) -> DataFrame:
     """Found before, fixed and left for review by file, with a total row (null)."""
     s = F.col("state")
-    return changed.rollup(by).agg(F.count_if(s != "appeared").alias("before"), F.count_if(s == "fixed").alias("fixed"), F.count_if(s != "fixed").alias("review"))
+    by_file = changed.groupBy(by).agg(F.count_if(s != "appeared").alias("before"), F.count_if(s == "fixed").alias("fixed"), F.count_if(s != "fixed").alias("review"))
+    return by_file.rollup(by).agg(*(F.sum(c).alias(c) for c in ("before", "fixed", "review")))
 
 
 def change_lines(log: DataFrame) -> DataFrame:
