@@ -20,9 +20,12 @@ def is_junk(text: Column) -> Column:
         glued = (F.size(lines) <= 3) & F.forall(lines, lambda x: x.rlike(P.GLUED_WORD))
         return (F.size(lines) > 0) & (nav | footer | glued)
 
-    # what any such text holds: the others aren't cut into lines
-    may = T.holds(text, " + ", *P.FOOTER_WORDS) | text.rlike("(?<=[a-z]{2})[A-Z][a-z]{2}")
-    return F.when(may, T.bind(F.filter(F.transform(F.split(text, "\n"), lambda x: T.strip(x)), lambda x: x != ""), judged)).otherwise(may)
+    # what any such text holds or begins with: the others aren't cut into lines
+    start = F.ltrim(text, F.lit(T.SPACES))
+    may = F.contains(text, F.lit(" + ")) | text.rlike("[A-Z](?<=[a-z]{2}[A-Z])[a-z]{2}")
+    for word in P.FOOTER_WORDS:
+        may = may | start.startswith(word)
+    return F.when(may, T.bind(F.filter(F.transform(F.split(text, "\n"), lambda x: T.strip(x)), lambda x: x != ""), judged)).when(text.isNotNull(), False)
 
 
 def without_debris(h: Column) -> Column:
@@ -190,7 +193,9 @@ def repair_log(clauses: DataFrame) -> DataFrame:
     local = rows.select("doc_id", "old_id", F.array(*found).alias("_v")).select("doc_id", "old_id", F.explode_outer("_v").alias("v")).where("v is not null").select("doc_id", "old_id", *(f"v.{c}" for c in told))
     # through an array of one: a filter on the heading itself would be moved below the steps, each of them written out in it
     part = F.when(kept & F.col("n4").rlike(P.PART_LABEL), F.struct("seg", F.col("n4").alias("heading"), F.col("n4").alias("_was")))
-    parts = rows.select("doc_id", "old_id", F.array(part).alias("_v")).select("doc_id", "old_id", F.explode_outer("_v").alias("v")).where("v is not null").select("doc_id", "old_id", "v.*")
+    # no repair makes a slash, so clauses without any have no label
+    labelled = named(clauses.where(F.contains("heading", F.lit("/")) | F.contains("text", F.lit("/"))), True)
+    parts = labelled.select("doc_id", "old_id", F.array(part).alias("_v")).select("doc_id", "old_id", F.explode_outer("_v").alias("v")).where("v is not null").select("doc_id", "old_id", "v.*")
     anew = renumber_parts(parts, ["old_id", "seg"]).where(F.col("_was") != F.col("heading"))
     anew = anew.select("doc_id", "old_id", row("8", same, F.col("_was"), F.col("heading"), F.lit("Part numbered anew")).alias("v")).select("doc_id", "old_id", *(f"v.{c}" for c in told))
     return local.union(anew).select("doc_id", "bug", same.alias("old_id"), *told[1:])

@@ -39,3 +39,9 @@ def test_mended_log_equals_change_log(spark):
     found = repair.mended_log(made, ["doc_id", "id"], now, F.col("id") % 3 != 0)
     wanted = repair.change_log(made, made.select("doc_id", "id", *(x.alias(c) for c, x in now.items())).where(F.col("id") % 3 != 0), ["doc_id", "id"], ["heading", "text"])
     assert rows(found.columns, found.collect()) == rows(wanted.columns, wanted.collect())
+
+
+def test_a_repair_log_shuffles_labelled_headings_only(spark):
+    made = spark.createDataFrame(CLAUSES, "doc_id long, id long, heading string, text string")
+    exchanges = plan(repair.repair_log(made)).count("Exchange hashpartitioning")
+    assert "REPARTITION" not in plan(repair.repair_log(made)) and exchanges <= 1
